@@ -34,12 +34,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         label = new.select("id", "label")
 
 
-def closure(nodes: DataFrame, buckets: DataFrame, near: Callable, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+def closure(nodes: DataFrame, buckets: DataFrame, near: Callable, verify: Callable[[DataFrame], DataFrame], name: str, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, label) of all items that have a link; an item's label is the smallest id of its class.
 
     nodes: id and what near() reads. buckets: (key, id), a candidate pair shares a key.
-    near(a, b): a cheap necessary condition as a Column over the structs a and b of nodes' columns.
+    near(a, b, fine): a cheap necessary condition as a Column over the structs a and b of nodes' columns,
+    and of finer()'s too if fine.
     verify: (a, b) pairs -> those that are links, as (a, b).
+    finer: (id) -> (id, ...) more columns for near(), worth their cost only where whole classes meet.
     """
     size = buckets.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
     shared = table(buckets.join(size.select("key", "pivot"), "key").select("key", "pivot", "id").distinct(), name)
@@ -49,7 +51,7 @@ def closure(nodes: DataFrame, buckets: DataFrame, near: Callable, verify: Callab
 
     def likely(pairs: DataFrame) -> DataFrame:
         a, b = active.select(F.col("id").alias("a"), F.col("n").alias("na")), active.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-        return pairs.join(a, "a").join(b, "b").where(near(F.col("na"), F.col("nb"))).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(near(F.col("na"), F.col("nb"), False)).select("a", "b")
 
     def grown(pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         found = table(verify(table(likely(pairs), name)).select("a", "b").distinct(), name)
@@ -76,8 +78,13 @@ def closure(nodes: DataFrame, buckets: DataFrame, near: Callable, verify: Callab
             named = named.join(main, "key")
             few = named.where("label <> main").select("key", F.col("id").alias("a"), F.col("label").alias("la"))
             many = named.select("key", F.col("id").alias("b"), F.col("label").alias("lb"), "main")
-            a, b = active.select(F.col("id").alias("a"), F.col("n").alias("na")), active.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-            ok = (F.col("l.key") == F.col("r.key")) & (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & near(F.col("na"), F.col("nb"))
+            known = active
+            if finer:
+                more = table(finer(named.select("id").distinct()), name)
+                full = F.struct("n.*", *[c for c in more.columns if c != "id"])
+                known = table(active.join(more, "id").select("id", full.alias("n")), name)
+            a, b = known.select(F.col("id").alias("a"), F.col("n").alias("na")), known.select(F.col("id").alias("b"), F.col("n").alias("nb"))
+            ok = (F.col("l.key") == F.col("r.key")) & (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & near(F.col("na"), F.col("nb"), finer is not None)
             pairs = few.join(a, "a").alias("l").join(many.join(b, "b").alias("r"), ok).select("a", "b").distinct()
         links, label = grown(pairs, links)
     return label
