@@ -20,7 +20,9 @@ from lectern.llm.common import table
 
 #: Slots of the literal arrays, pieces held ready, and their longest length in bytes: at most 16 MB.
 SLOTS, READY, LONGEST = 1 << 15, 1 << 17, 64
-NONE = 2**31 - 1
+NONE, ROOM = 2**31 - 1, 1 << 30
+#: Stands at both ends of the parts; no piece in ISO-8859-1 has it.
+MARK = "\u0100"
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -35,7 +37,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+    return F.hash(key).bitwiseAND(F.lit(SLOTS - 1))
 
 
 def constant(value: str, kind: str) -> Column:
@@ -60,35 +62,35 @@ def slots(rows: DataFrame, kind: str) -> Column:
 
 
 def rank_of(table_: Column, key: Column) -> Column:
-    return F.coalesce(F.element_at(F.element_at(table_, slot(key) + 1), key), F.lit(NONE))
+    return F.coalesce(F.element_at(table_[slot(key)], key), F.lit(NONE))
 
 
 def fold(piece: Column, table_: Column) -> Column:
-    """The ids of a piece in ISO-8859-1: as many merge steps as it has gaps; without a pair that has a rank, a step changes nothing."""
+    """The ids of a piece in ISO-8859-1: as many merge steps as it has gaps; without a pair that has a rank, a step changes nothing.
+
+    The state is the parts between two marks that no rank knows, and the ranks of all adjacent pairs.
+    """
 
     def step(state: Column, _: Column) -> Column:
         parts, found = state["parts"], state["found"]
-        n = F.size(parts)
-
-        def merged(best: Column) -> Column:
-            def at(i: Column) -> Column:
-                def put(word: Column) -> Column:
-                    left = F.when(i > 1, F.concat(F.slice(found, 1, F.greatest(i - 2, F.lit(0))), F.array(rank_of(table_, F.concat(F.element_at(parts, F.greatest(i - 1, F.lit(1))), word))))).otherwise(F.slice(found, 1, 0))
-                    right = F.when(i + 1 < n, F.concat(F.array(rank_of(table_, F.concat(word, F.element_at(parts, F.least(i + 2, n))))), F.slice(found, i + 2, n))).otherwise(F.slice(found, 1, 0))
-                    return F.struct(F.concat(F.slice(parts, 1, i - 1), F.array(word), F.slice(parts, i + 2, n)).alias("parts"), F.concat(left, right).alias("found"))
 
-                return let(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1)), put)
+        def at(i: Column) -> Column:
+            def put(word: Column) -> Column:
+                left = rank_of(table_, F.concat(parts[i - 2], word))
+                right = rank_of(table_, F.concat(word, parts[i + 1]))
+                return F.struct(F.concat(F.slice(parts, 1, i - 1), F.array(word), F.slice(parts, i + 2, ROOM)).alias("parts"), F.concat(F.slice(found, 1, i - 2), F.array(left, right), F.slice(found, i + 2, ROOM)).alias("found"))
 
-            return F.when(F.coalesce(best, F.lit(NONE)) == NONE, state).otherwise(let(F.array_position(found, best).cast("int"), at))
+            return let(F.concat(parts[i - 1], parts[i]), put)
 
-        return let(F.array_min(found), merged)
+        return let(F.array_min(found), lambda best: F.when(best == NONE, state).otherwise(let(F.array_position(found, best).cast("int"), at)))
 
     def begin(parts: Column) -> Column:
-        pairs = F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts)), lambda a, b: rank_of(table_, F.concat(a, b)))
-        gaps = F.slice(parts, 2, F.size(parts))
-        return F.aggregate(gaps, F.struct(parts.alias("parts"), pairs.alias("found")), step, lambda s: F.transform(s["parts"], lambda p: rank_of(table_, p)))
+        marked = F.concat(F.array(F.lit(MARK)), parts, F.array(F.lit(MARK)))
+        pairs = F.zip_with(F.concat(F.array(F.lit(MARK)), parts), F.concat(parts, F.array(F.lit(MARK))), lambda a, b: rank_of(table_, F.concat(a, b)))
+        end = lambda s: F.transform(F.slice(s["parts"], 2, F.size(s["parts"]) - 2), lambda p: F.element_at(table_[slot(p)], p))
+        return F.aggregate(F.slice(parts, 2, ROOM), F.struct(marked.alias("parts"), pairs.alias("found")), step, end)
 
-    return let(rank_of(table_, piece), lambda whole: F.when(whole != NONE, F.array(whole)).otherwise(let(F.split(piece, ""), begin)))
+    return let(F.element_at(table_[slot(piece)], piece), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(let(F.split(piece, ""), begin)))
 
 
 def latin(text: Column) -> Column:
@@ -118,12 +120,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             break
         least = r["level"]
     common = short.where(level >= least) if least is not None else short.limit(0)
-    common = common.repartition("k").select("k", let(known, lambda m: fold(latin(F.col("k")), m)).alias("v"))
+    common = common.repartition(F.col("k")).select("k", let(known, lambda m: fold(latin(F.col("k")), m)).alias("v"))
     both = F.struct(known.alias("ranks"), slots(common, "array<int>").alias("ready"))
 
     def ids(m: Column) -> Column:
         def one(piece: Column) -> Column:
-            hit = F.element_at(F.element_at(m["ready"], slot(piece) + 1), piece)
+            hit = F.element_at(m["ready"][slot(piece)], piece)
             return F.coalesce(hit, fold(latin(piece), m["ranks"]))
 
         return F.flatten(F.transform(pieces(F.col("text"), pattern), one))
@@ -141,7 +143,7 @@ def strings(path: str) -> Column:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded (with ids) and the concatenated binary of its ids' byte strings as decoded, the ids as little-endian 32-bit integers as packed."""
     s = strings(path)
-    joined = lambda field: let(s, lambda m: F.array_join(F.transform(F.col("ids"), lambda i: F.element_at(m[field], i + 1)), ""))
+    joined = lambda field: let(s, lambda m: F.array_join(F.transform(F.col("ids"), lambda i: m[field][i]), ""))
     return encoded.select("*", F.encode(joined("bytes"), "ISO-8859-1").alias("decoded"), F.unhex(joined("hex")).alias("packed"))
 
 
