@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import table
@@ -37,7 +38,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def slot(key: Column) -> Column:
-    return F.hash(key).bitwiseAND(F.lit(SLOTS - 1))
+    return F.crc32(key.cast("binary")).bitwiseAND(F.lit(SLOTS - 1))
 
 
 def constant(value: str, kind: str) -> Column:
@@ -45,20 +46,18 @@ def constant(value: str, kind: str) -> Column:
     return F.from_json(F.lit(value), kind)
 
 
-def rank_slots(path: str) -> Column:
-    """The literal rank map: an array of maps, each byte string in the map of its slot."""
-    spark = SparkSession.active()
-    rows = spark.createDataFrame([(b.decode("latin-1"), r) for b, r in ranks(path).items()], "k string, v int")
-    return slots(rows, "int")
+def slots(pairs: Iterable[tuple[str, int | list[int]]], kind: str) -> Column:
+    """Pairs, of bounded number and size, as a literal array of maps: each key in the map of its slot."""
+    held: list[list[str] | None] = [None] * SLOTS
+    for k, v in pairs:
+        i = zlib.crc32(k.encode()) & (SLOTS - 1)
+        held[i] = [*(held[i] or ()), f"{json.dumps(k)}:{json.dumps(v)}"]
+    return constant("[" + ",".join("{" + ",".join(x or ()) + "}" for x in held) + "]", f"array<map<string,{kind}>>")
 
 
-def slots(rows: DataFrame, kind: str) -> Column:
-    """Rows (k, v), of bounded number and size, as a literal array of maps."""
-    held = rows.groupBy(slot(F.col("k")).alias("s")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-    maps: list = ["{}"] * SLOTS
-    for s, m in held.select("s", F.to_json("m")).collect():
-        maps[s] = m
-    return constant(f"[{','.join(maps)}]", f"array<map<string,{kind}>>")
+def rank_slots(path: str) -> Column:
+    """The literal rank map."""
+    return slots(((b.decode("latin-1"), r) for b, r in ranks(path).items()), "int")
 
 
 def rank_of(table_: Column, key: Column) -> Column:
@@ -120,8 +119,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             break
         least = r["level"]
     common = short.where(level >= least) if least is not None else short.limit(0)
-    common = common.repartition(F.col("k")).select("k", let(known, lambda m: fold(latin(F.col("k")), m)).alias("v"))
-    both = F.struct(known.alias("ranks"), slots(common, "array<int>").alias("ready"))
+    common = common.repartition(64, F.col("k")).select("k", let(known, lambda m: fold(latin(F.col("k")), m)).alias("v"))
+    both = F.struct(known.alias("ranks"), slots(_rows(common), "array<int>").alias("ready"))
 
     def ids(m: Column) -> Column:
         def one(piece: Column) -> Column:
@@ -133,6 +132,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return rows.select("doc_id", "text", let(both, ids).alias("ids"))
 
 
+def _rows(common: DataFrame) -> Iterator[tuple[str, list[int]]]:
+    """The bounded table of common pieces, a batch at a time."""
+    for batch in common.toArrow().to_batches(4096):
+        yield from zip(batch.column("k").to_pylist(), batch.column("v").to_pylist(), strict=True)
+
+
 def strings(path: str) -> Column:
     """A literal: for each id its bytes in ISO-8859-1, and the id as four bytes in hexadecimal."""
     order = sorted(ranks(path).items(), key=lambda x: x[1])
