@@ -25,8 +25,8 @@ from lectern.llm.common import table
 
 MAGIC = b"IDPLANE1"
 BLOCK, SHARD, END = 1 << 15, 1 << 20, 1
-#: Words whose ids a Python worker remembers before it starts anew; bounds its memory only.
-MEMO = 300_000
+#: Words whose ids a Python worker remembers in each of two halves; bounds its memory only.
+MEMO = 250_000
 
 
 def planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -81,15 +81,16 @@ class Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memo, self.old = Tokenizer.from_file(path), {}, {}
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        if new := [w for w in set(words) if w not in self.memo]:
-            if len(self.memo) + len(new) > MEMO:
-                self.memo = {}
-                new = list(set(words))
-            self.memo.update(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+        if new := set(words).difference(self.memo):
+            if len(self.memo) + len(new) > MEMO:  # words that come back stay, from one half to the next
+                self.old, self.memo, new = self.memo, {}, set(words)
+            self.memo.update((w, self.old[w]) for w in new.intersection(self.old))
+            if rest := [*new.difference(self.old)]:
+                self.memo.update(zip(rest, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
         return np.fromiter(chain.from_iterable(map(self.memo.__getitem__, words)), dtype="<u4")
 
 
