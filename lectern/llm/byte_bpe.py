@@ -10,11 +10,10 @@ then, are folded where they occur. Decoding concatenates the ids' byte strings.
 from __future__ import annotations
 
 import base64
-import json
-import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import table
@@ -41,23 +40,29 @@ def slot(key: Column) -> Column:
     return F.crc32(key.cast("binary")).bitwiseAND(F.lit(SLOTS - 1))
 
 
-def constant(value: str, kind: str) -> Column:
-    """A literal from its JSON; the optimizer folds it once a query."""
-    return F.from_json(F.lit(value), kind)
+def constant(one: DataFrame, kind: str, name: str) -> Column:
+    """The single value of a one-row DataFrame as a literal: a session variable, whose value a query takes when it is built."""
+    spark, view = one.sparkSession, f"lectern_{name}"
+    one.createOrReplaceTempView(view)
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {view}_value {kind}")
+    spark.sql(f"SET VAR {view}_value = (SELECT * FROM {view})")
+    spark.catalog.dropTempView(view)
+    return F.expr(f"{view}_value")
 
 
-def slots(pairs: Iterable[tuple[str, int | list[int]]], kind: str) -> Column:
-    """Pairs, of bounded number and size, as a literal array of maps: each key in the map of its slot."""
-    held: list[list[str] | None] = [None] * SLOTS
-    for k, v in pairs:
-        i = zlib.crc32(k.encode()) & (SLOTS - 1)
-        held[i] = [*(held[i] or ()), f"{json.dumps(k)}:{json.dumps(v)}"]
-    return constant("[" + ",".join("{" + ",".join(x or ()) + "}" for x in held) + "]", f"array<map<string,{kind}>>")
+def slots(rows: DataFrame, kind: str, name: str) -> Column:
+    """Rows (k, v), of bounded number and size, as a literal array of maps: each key in the map of its slot."""
+    held = rows.groupBy(slot(F.col("k")).alias("s")).agg(F.collect_list(F.struct("k", "v")).alias("m"))
+    full = rows.sparkSession.range(SLOTS).withColumnRenamed("id", "s").join(held, "s", "left")
+    one = full.agg(F.sort_array(F.collect_list(F.struct("s", F.coalesce("m", F.array().cast(f"array<struct<k:string,v:{kind}>>")).alias("m")))).alias("a"))
+    return constant(one.select(F.transform("a", lambda x: F.map_from_entries(x["m"]))), f"ARRAY<MAP<STRING, {kind}>>", name)
 
 
-def rank_slots(path: str) -> Column:
+def rank_slots(spark: SparkSession, path: str) -> Column:
     """The literal rank map."""
-    return slots(((b.decode("latin-1"), r) for b, r in ranks(path).items()), "int")
+    known = ranks(path)
+    rows = pa.table({"k": pa.array([b.decode("latin-1") for b in known], pa.string()), "v": pa.array(list(known.values()), pa.int32())})
+    return slots(spark.createDataFrame(rows), "int", "ranks")
 
 
 def rank_of(table_: Column, key: Column) -> Column:
@@ -107,7 +112,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     time by the square of its length.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = rank_slots(path)
+    known = rank_slots(docs.sparkSession, path)
     counted = table(rows.select(F.explode(pieces(F.col("text"), pattern)).alias("k")).groupBy("k").count(), "pieces")
     # The commonest pieces by classes of their counts, as many classes as fit.
     level = F.floor(F.log2("count") * 8)
@@ -120,7 +125,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         least = r["level"]
     common = short.where(level >= least) if least is not None else short.limit(0)
     common = common.repartition(64, F.col("k")).select("k", let(known, lambda m: fold(latin(F.col("k")), m)).alias("v"))
-    both = F.struct(known.alias("ranks"), slots(_rows(common), "array<int>").alias("ready"))
+    both = F.struct(known.alias("ranks"), slots(table(common, "pieces"), "array<int>", "ready").alias("ready"))
 
     def ids(m: Column) -> Column:
         def one(piece: Column) -> Column:
@@ -132,22 +137,17 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return rows.select("doc_id", "text", let(both, ids).alias("ids"))
 
 
-def _rows(common: DataFrame) -> Iterator[tuple[str, list[int]]]:
-    """The bounded table of common pieces, a batch at a time."""
-    for batch in common.toArrow().to_batches(4096):
-        yield from zip(batch.column("k").to_pylist(), batch.column("v").to_pylist(), strict=True)
-
-
-def strings(path: str) -> Column:
+def strings(spark: SparkSession, path: str) -> Column:
     """A literal: for each id its bytes in ISO-8859-1, and the id as four bytes in hexadecimal."""
     order = sorted(ranks(path).items(), key=lambda x: x[1])
-    both = {"bytes": [b.decode("latin-1") for b, _ in order], "hex": [r.to_bytes(4, "little").hex() for _, r in order]}
-    return constant(json.dumps(both), "struct<bytes:array<string>,hex:array<string>>")
+    rows = pa.table({"id": pa.array([r for _, r in order], pa.int32()), "b": pa.array([b.decode("latin-1") for b, _ in order], pa.string()), "h": pa.array([r.to_bytes(4, "little").hex() for _, r in order], pa.string())})
+    one = spark.createDataFrame(rows).agg(F.sort_array(F.collect_list(F.struct("id", "b", "h"))).alias("a"))
+    return constant(one.select(F.struct(F.col("a.b").alias("bytes"), F.col("a.h").alias("hex"))), "STRUCT<bytes: ARRAY<STRING>, hex: ARRAY<STRING>>", "strings")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded (with ids) and the concatenated binary of its ids' byte strings as decoded, the ids as little-endian 32-bit integers as packed."""
-    s = strings(path)
+    s = strings(encoded.sparkSession, path)
     joined = lambda field: let(s, lambda m: F.array_join(F.transform(F.col("ids"), lambda i: m[field][i]), ""))
     return encoded.select("*", F.encode(joined("bytes"), "ISO-8859-1").alias("decoded"), F.unhex(joined("hex")).alias("packed"))
 
