@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BOUND_MS = 250.0
-_CLIP = Window.partitionBy("clip_id").orderBy("disp_idx")
+
+
+def _clip() -> Window:
+    return Window.partitionBy("clip_id").orderBy("disp_idx")
 
 
 def local_drift(placed: DataFrame, mode: str = "contract") -> DataFrame:
@@ -14,7 +17,7 @@ def local_drift(placed: DataFrame, mode: str = "contract") -> DataFrame:
 
     contract: null without neighbours or a positive span; harness: spans are at least one character and a microsecond.
     """
-    lag, lead = (lambda c: F.lag(c).over(_CLIP)), (lambda c: F.lead(c).over(_CLIP))
+    lag, lead = (lambda c: F.lag(c).over(_clip())), (lambda c: F.lead(c).over(_clip()))
     chars, time = lead("cs") - lag("cs"), lead("s") - lag("s")
     if mode == "harness":
         chars, time = F.greatest(chars, F.lit(1)), F.greatest(time, F.lit(1e-6))
@@ -66,7 +69,7 @@ def character_coverage(display: DataFrame, placed: DataFrame) -> DataFrame:
 
 def causes(placed: DataFrame, pause_ms: float = 150.0) -> DataFrame:
     """primary_cause, rows, failing: placements by the first neighbourhood flag that holds, over the bound or not."""
-    lag, lead = (lambda c: F.lag(c).over(_CLIP)), (lambda c: F.lead(c).over(_CLIP))
+    lag, lead = (lambda c: F.lag(c).over(_clip())), (lambda c: F.lead(c).over(_clip()))
     flags = [
         ("sentence_end", lag("text").rlike("[.!?]$") | F.col("text").rlike("[.!?]$")),
         ("skipped_token", (F.col("disp_idx") - lag("disp_idx") > 1) | (lead("disp_idx") - F.col("disp_idx") > 1)),
