@@ -1,25 +1,33 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
-
-A text's pieces are the matches of the tokenizer's pattern. A piece's bytes, one character
-each in ISO-8859-1, are folded by ranked merges: each step joins the adjacent pair of the
-lowest rank. The ranks stand in a literal array of small maps, found by a hash. The commonest
-distinct pieces of the corpus are folded once and stand in a like array; the others, rare by
-then, are folded where they occur. Decoding concatenates the ids' byte strings.
+"""Byte-level BPE encoding and decoding.
+
+A text's pieces are the matches of the tokenizer's pattern. The commonest distinct pieces of
+the corpus, counted over all of it, are folded by ranked merges with Spark's higher-order
+functions: a piece's bytes, one character each in ISO-8859-1, and each step joins the adjacent
+pair of the lowest rank. The ranks stand in a literal array of small maps, found by a hash.
+Texts are then put together from the folded pieces in map tasks; a piece too rare to be held
+is merged where it occurs, by the same rule. Decoding concatenates the ids' byte strings.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
+import heapq
+import re
+import uuid
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import table
 
-#: Slots of the literal arrays, pieces held ready, and their longest length in bytes: at most 16 MB.
+#: Slots of the literal array; pieces held ready, and their longest length in bytes, so at most 16 MB are broadcast.
 SLOTS, READY, LONGEST = 1 << 15, 1 << 17, 64
+#: Words a Python worker counts before it passes them on, and words it remembers in each of two halves; these bound its memory only.
+HELD, MEMO = 200_000, 200_000
 NONE, ROOM = 2**31 - 1, 1 << 30
 #: Stands at both ends of the parts; no piece in ISO-8859-1 has it.
 MARK = "\u0100"
@@ -50,19 +58,14 @@ def constant(one: DataFrame, kind: str, name: str) -> Column:
     return F.expr(f"{view}_value")
 
 
-def slots(rows: DataFrame, kind: str, name: str) -> Column:
-    """Rows (k, v), of bounded number and size, as a literal array of maps: each key in the map of its slot."""
-    held = rows.groupBy(slot(F.col("k")).alias("s")).agg(F.collect_list(F.struct("k", "v")).alias("m"))
-    full = rows.sparkSession.range(SLOTS).withColumnRenamed("id", "s").join(held, "s", "left")
-    one = full.agg(F.sort_array(F.collect_list(F.struct("s", F.coalesce("m", F.array().cast(f"array<struct<k:string,v:{kind}>>")).alias("m")))).alias("a"))
-    return constant(one.select(F.transform("a", lambda x: F.map_from_entries(x["m"]))), f"ARRAY<MAP<STRING, {kind}>>", name)
-
-
 def rank_slots(spark: SparkSession, path: str) -> Column:
-    """The literal rank map."""
+    """The literal rank map: an array of maps, each byte string in the map of its slot."""
     known = ranks(path)
-    rows = pa.table({"k": pa.array([b.decode("latin-1") for b in known], pa.string()), "v": pa.array(list(known.values()), pa.int32())})
-    return slots(spark.createDataFrame(rows), "int", "ranks")
+    rows = spark.createDataFrame(pa.table({"k": pa.array([b.decode("latin-1") for b in known], pa.string()), "v": pa.array(list(known.values()), pa.int32())}))
+    held = rows.groupBy(slot(F.col("k")).alias("s")).agg(F.collect_list(F.struct("k", "v")).alias("m"))
+    full = spark.range(SLOTS).withColumnRenamed("id", "s").join(held, "s", "left")
+    one = full.agg(F.sort_array(F.collect_list(F.struct("s", F.coalesce("m", F.array().cast("array<struct<k:string,v:int>>")).alias("m")))).alias("a"))
+    return constant(one.select(F.transform("a", lambda x: F.map_from_entries(x["m"]))), "ARRAY<MAP<STRING, INT>>", "ranks")
 
 
 def rank_of(table_: Column, key: Column) -> Column:
@@ -101,55 +104,173 @@ def latin(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-def pieces(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
+_GAP, _ODD = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, text and ids of each row of docs (doc_id, text): for each match of the pattern, its byte-level BPE ids; null texts are empty and have none.
+def words(text: str) -> list[str]:
+    """A text cut at each space before another character, where a piece always begins; the space itself goes."""
+    return _GAP.split(text) if _ODD.search(text) else text.split(" ")
+
+
+def matcher(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of the tokenizer's pattern, its white space as Unicode defines it."""
+    import regex
+
+    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
 
-    Rows without or with repeated doc_ids are encoded each; no rows give no rows. A piece's fold takes
-    time by the square of its length.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = rank_slots(docs.sparkSession, path)
-    counted = table(rows.select(F.explode(pieces(F.col("text"), pattern)).alias("k")).groupBy("k").count(), "pieces")
-    # The commonest pieces by classes of their counts, as many classes as fit.
+
+def merge(piece: bytes, known: dict[bytes, int]) -> bytes:
+    """A piece's ids as little-endian 32-bit integers: the leftmost pair of the lowest rank joins, until none has a rank."""
+    n = len(piece)
+    after, before, heap = [*range(1, n + 1)], [*range(-1, n - 1)], []
+
+    def offer(i: int, e: int) -> None:
+        if (r := known.get(piece[i:e])) is not None:
+            heapq.heappush(heap, (r, i, e))
+
+    if piece in known:
+        return known[piece].to_bytes(4, "little")
+    for i in range(n - 1):
+        offer(i, i + 2)
+    while heap:
+        _, i, e = heapq.heappop(heap)
+        j = after[i]
+        if not 0 < j < n or after[j] != e:
+            continue  # one of the two has joined another since
+        after[i], after[j] = e, 0
+        if e < n:
+            before[e] = i
+            offer(i, after[e])
+        if before[i] >= 0:
+            offer(before[i], e)
+    out, i = [], 0
+    while i < n:
+        out.append(known[piece[i : after[i]]].to_bytes(4, "little"))
+        i = after[i]
+    return b"".join(out)
+
+
+class Words(dict):
+    """Packed ids of words behind a space, from folded pieces; what recurs is remembered."""
+
+    def __init__(self, data: bytes, pattern: str):
+        t = pa.ipc.open_stream(data).read_all()
+        kind = np.array(t.column("kind"))
+        keys, values = t.column("k").to_pylist(), t.column("v").to_pylist()
+        self.known = {k: int.from_bytes(v, "little") for k, v, r in zip(keys, values, kind, strict=True) if r == 0}
+        self.ready = {k.decode(): v for k, v, r in zip(keys, values, kind, strict=True) if r == 1}
+        self.find, self.old = matcher(pattern), {}
+
+    def ids(self, text: str) -> bytes:
+        ready, known = self.ready, self.known
+        return b"".join([ready[p] if p in ready else merge(p.encode(), known) for p in self.find(text)])
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old[word] if word in self.old else self.ids(" " + word)
+        if len(word) <= LONGEST:
+            if len(self) >= MEMO:  # words that come back stay, from one half to the next
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+    def __call__(self, text: str) -> bytes:
+        first, *rest = words(text)
+        return self.ids(first) + b"".join(map(self.__getitem__, rest))
+
+
+_held: dict[str, Words] = {}
+
+
+def held_words(token: str, data: bytes, pattern: str) -> Words:
+    """This Python worker's Words of the encoding named by token, kept from task to task."""
+    if token not in _held:
+        _held.clear()
+        _held[token] = Words(data, pattern)
+    return _held[token]
+
+
+def counts(docs: DataFrame, pattern: str) -> DataFrame:
+    """k and count of each distinct piece of up to LONGEST bytes in docs' texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, heads, rest = matcher(pattern), Counter(), Counter()
+
+        def close() -> pa.RecordBatch:
+            out: Counter = Counter()
+            for space, held in (("", heads), (" ", rest)):
+                for w, n in held.items():
+                    for p in find(space + w):
+                        out[p] += n
+                held.clear()
+            short = [(p, n) for p, n in out.items() if len(p.encode()) <= LONGEST]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], names=["k", "n"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                first, *more = words(text.as_py() or "")
+                heads[first] += 1
+                rest.update(more)
+                if len(heads) + len(rest) > HELD:
+                    yield close()
+        yield close()
+
+    return docs.select("text").mapInArrow(run, "k string, n long").groupBy("k").agg(F.sum("n").alias("count"))
+
+
+def folded(counted: DataFrame, path: str) -> DataFrame:
+    """k and ids v of the commonest pieces of counted, READY at most: whole classes of like counts, as many as fit."""
     level = F.floor(F.log2("count") * 8)
-    short = counted.where(F.octet_length("k") <= LONGEST)
     room, least = READY, None
-    for r in short.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+    for r in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
         room -= r["count"]
         if room < 0:
             break
         least = r["level"]
-    common = short.where(level >= least) if least is not None else short.limit(0)
-    common = common.repartition(64, F.col("k")).select("k", let(known, lambda m: fold(latin(F.col("k")), m)).alias("v"))
-    both = F.struct(known.alias("ranks"), slots(table(common, "pieces"), "array<int>", "ready").alias("ready"))
+    common = counted.where(level >= least) if least is not None else counted.limit(0)
+    known = rank_slots(counted.sparkSession, path)
+    return common.repartition(64, F.col("k")).select("k", let(known, lambda m: fold(latin(F.col("k")), m)).alias("v"))
 
-    def ids(m: Column) -> Column:
-        def one(piece: Column) -> Column:
-            hit = F.element_at(m["ready"][slot(piece)], piece)
-            return F.coalesce(hit, fold(latin(piece), m["ranks"]))
 
-        return F.flatten(F.transform(pieces(F.col("text"), pattern), one))
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id and ids of each row of docs (doc_id, text): for each match of the pattern, its byte-level BPE ids; null texts are empty and have none.
 
-    return rows.select("doc_id", "text", let(both, ids).alias("ids"))
+    Rows without or with repeated doc_ids are encoded each; no rows give no rows; other columns are not read.
+    """
+    spark, token = docs.sparkSession, uuid.uuid4().hex
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ready = folded(table(counts(rows, pattern), "pieces"), path).toArrow()  # READY rows at most
+    known = ranks(path)
+    keys = [*known, *(k.encode() for k in ready.column("k").to_pylist())]
+    values = [*(r.to_bytes(4, "little") for r in known.values()), *(np.array(v, "<u4").tobytes() for v in ready.column("v").to_pylist())]
+    held = pa.table({"kind": pa.array([0] * len(known) + [1] * len(ready), pa.int8()), "k": pa.array(keys, pa.binary()), "v": pa.array(values, pa.binary())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, held.schema) as out:
+        out.write_table(held)
+    data = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = held_words(token, data.value, pattern)
+        for batch in batches:
+            found = [ids(text.as_py() or "") for text in batch.column("text")]
+            at = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(found), "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
 
-def strings(spark: SparkSession, path: str) -> Column:
-    """A literal: for each id its bytes in ISO-8859-1, and the id as four bytes in hexadecimal."""
-    order = sorted(ranks(path).items(), key=lambda x: x[1])
-    rows = pa.table({"id": pa.array([r for _, r in order], pa.int32()), "b": pa.array([b.decode("latin-1") for b, _ in order], pa.string()), "h": pa.array([r.to_bytes(4, "little").hex() for _, r in order], pa.string())})
-    one = spark.createDataFrame(rows).agg(F.sort_array(F.collect_list(F.struct("id", "b", "h"))).alias("a"))
-    return constant(one.select(F.struct(F.col("a.b").alias("bytes"), F.col("a.h").alias("hex"))), "STRUCT<bytes: ARRAY<STRING>, hex: ARRAY<STRING>>", "strings")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded (with ids) and the concatenated binary of its ids' byte strings as decoded, the ids as little-endian 32-bit integers as packed."""
-    s = strings(encoded.sparkSession, path)
-    joined = lambda field: let(s, lambda m: F.array_join(F.transform(F.col("ids"), lambda i: m[field][i]), ""))
-    return encoded.select("*", F.encode(joined("bytes"), "ISO-8859-1").alias("decoded"), F.unhex(joined("hex")).alias("packed"))
+    """doc_id, ids, the concatenated byte strings of the ids as decoded, and the ids as little-endian 32-bit integers as packed. Null ids are none."""
+    strings = [b for b, _ in sorted(ranks(path).items(), key=lambda x: x[1])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.array(x.values, "<u4") if x.is_valid else np.empty(0, "<u4") for x in batch.column("ids")]
+            joined = [b"".join(map(strings.__getitem__, x.tolist())) for x in lists]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(joined, pa.binary()), pa.array([x.tobytes() for x in lists], pa.binary())], names=["doc_id", "ids", "decoded", "packed"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary, packed binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -238,9 +238,11 @@ def test_toxicity_without_labels_and_odd_rows(spark, odd):
     assert toxicity.toxicity(odd.limit(0), none).count() == 0
 
 
-def test_byte_bpe(spark, odd):
+@pytest.mark.parametrize("ready", [byte_bpe.READY, 9])
+def test_byte_bpe(spark, odd, ready, monkeypatch):
     import tiktoken
 
+    monkeypatch.setattr(byte_bpe, "READY", ready)
     t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.ranks(queries.BYTE_BPE), special_tokens={})
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in byte_bpe.digests(odd, queries.BYTE_BPE, P.PATTERN).collect())
     want = []
@@ -250,6 +252,20 @@ def test_byte_bpe(spark, odd):
     assert got == sorted(want)
 
 
+def test_byte_bpe_merges_and_words():
+    import tiktoken
+
+    known = byte_bpe.ranks(queries.BYTE_BPE)
+    t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=known, special_tokens={})
+    rnd, find = random.Random(7), byte_bpe.matcher(P.PATTERN)
+    for _ in range(2000):
+        x = "".join(rnd.choice(["th", "e", "an", "ing", "a", "ß", "日", "'s", "9", "-", " ", "  ", "\n", "\x1c", "\xa0", "\t"]) for _ in range(rnd.randint(0, 40)))
+        first, *rest = byte_bpe.words(x)
+        pieces = find(first) + [p for w in rest for p in find(" " + w)]
+        assert pieces == find(x)
+        assert b"".join(byte_bpe.merge(p.encode(), known) for p in pieces) == np.array(t.encode_ordinary(x), "<u4").tobytes()
+
+
 def kneser_ney(texts):
     """p of every trigram, by the definition."""
     from collections import Counter
