@@ -97,6 +97,13 @@ class Words:
 _words: dict[str, Words] = {}
 
 
+def held_words(tokenizer: str) -> Words:
+    """This Python worker's Words of a tokenizer, kept from task to task."""
+    if tokenizer not in _words:
+        _words[tokenizer] = Words(tokenizer)
+    return _words[tokenizer]
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, bits: bool = False) -> DataFrame:
     """Files of the ids of docs (doc_id, text) in ascending doc_id order: part, shard, n_ids, content.
 
@@ -109,7 +116,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, bits: bool = False) -> DataFra
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = _words.setdefault(tokenizer, None) or _words.update({tokenizer: Words(tokenizer)}) or _words[tokenizer]
+        words = held_words(tokenizer)
         part, shard, ids, held, n = TaskContext.get().partitionId(), 0, [], [], 0
 
         def close() -> pa.RecordBatch:
