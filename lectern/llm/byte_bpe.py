@@ -27,7 +27,9 @@ from lectern.llm.common import table
 #: Slots of the literal array; pieces held ready, and their longest length in bytes, so at most 16 MB are broadcast.
 SLOTS, READY, LONGEST = 1 << 15, 1 << 17, 64
 #: Words a Python worker counts before it passes them on, and words it remembers in each of two halves; these bound its memory only.
-HELD, MEMO = 200_000, 200_000
+HELD, MEMO = 200_000, 100_000
+#: Rows a map task works on and hands back at a time.
+STEP = 256
 NONE, ROOM = 2**31 - 1, 1 << 30
 #: Stands at both ends of the parts; no piece in ISO-8859-1 has it.
 MARK = "\u0100"
@@ -150,16 +152,24 @@ def merge(piece: bytes, known: dict[bytes, int]) -> bytes:
     return b"".join(out)
 
 
+def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of STEP rows, so that a task's results stay small."""
+    for batch in batches:
+        for i in range(0, len(batch), STEP):
+            yield batch.slice(i, STEP)
+
+
 class Words(dict):
     """Packed ids of words behind a space, from folded pieces; what recurs is remembered."""
 
     def __init__(self, data: bytes, pattern: str):
-        t = pa.ipc.open_stream(data).read_all()
-        kind = np.array(t.column("kind"))
-        keys, values = t.column("k").to_pylist(), t.column("v").to_pylist()
-        self.known = {k: int.from_bytes(v, "little") for k, v, r in zip(keys, values, kind, strict=True) if r == 0}
-        self.ready = {k.decode(): v for k, v, r in zip(keys, values, kind, strict=True) if r == 1}
-        self.find, self.old = matcher(pattern), {}
+        self.known, self.ready, self.old, self.find = {}, {}, {}, matcher(pattern)
+        for batch in pa.ipc.open_stream(data):
+            for folded_, k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if folded_:
+                    self.ready[k.decode()] = v
+                else:
+                    self.known[k] = int.from_bytes(v, "little")
 
     def ids(self, text: str) -> bytes:
         ready, known = self.ready, self.known
@@ -243,15 +253,15 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     known = ranks(path)
     keys = [*known, *(k.encode() for k in ready.column("k").to_pylist())]
     values = [*(r.to_bytes(4, "little") for r in known.values()), *(np.array(v, "<u4").tobytes() for v in ready.column("v").to_pylist())]
-    held = pa.table({"kind": pa.array([0] * len(known) + [1] * len(ready), pa.int8()), "k": pa.array(keys, pa.binary()), "v": pa.array(values, pa.binary())})
+    held = pa.table({"folded": pa.array([False] * len(known) + [True] * len(ready)), "k": pa.array(keys, pa.binary()), "v": pa.array(values, pa.binary())})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, held.schema) as out:
-        out.write_table(held)
+        out.write_table(held, 10_000)
     data = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = held_words(token, data.value, pattern)
-        for batch in batches:
+        for batch in steps(batches):
             found = [ids(text.as_py() or "") for text in batch.column("text")]
             at = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(found), "<i4")))
@@ -265,7 +275,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     strings = [b for b, _ in sorted(ranks(path).items(), key=lambda x: x[1])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches):
             lists = [np.array(x.values, "<u4") if x.is_valid else np.empty(0, "<u4") for x in batch.column("ids")]
             joined = [b"".join(map(strings.__getitem__, x.tolist())) for x in lists]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(joined, pa.binary()), pa.array([x.tobytes() for x in lists], pa.binary())], names=["doc_id", "ids", "decoded", "packed"])
