@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table
+from lectern.llm.common import map_arrow, table
 
 #: Slots of the literal array; pieces held ready, and their longest length in bytes, so at most 16 MB are broadcast.
 SLOTS, READY, LONGEST = 1 << 15, 1 << 17, 64
@@ -225,7 +225,7 @@ def counts(docs: DataFrame, pattern: str) -> DataFrame:
                     yield close()
         yield close()
 
-    return docs.select("text").mapInArrow(run, "k string, n long").groupBy("k").agg(F.sum("n").alias("count"))
+    return docs.select("text").transform(map_arrow, run, "k string, n long").groupBy("k").agg(F.sum("n").alias("count"))
 
 
 def folded(counted: DataFrame, path: str) -> DataFrame:
@@ -267,7 +267,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(found), "<i4")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.transform(map_arrow, run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -280,7 +280,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             joined = [b"".join(map(strings.__getitem__, x.tolist())) for x in lists]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(joined, pa.binary()), pa.array([x.tobytes() for x in lists], pa.binary())], names=["doc_id", "ids", "decoded", "packed"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary, packed binary")
+    return encoded.select("doc_id", "ids").transform(map_arrow, run, "doc_id long, ids array<int>, decoded binary, packed binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

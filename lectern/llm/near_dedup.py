@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import shingle_set, table, utf8
+from lectern.llm.common import map_arrow, shingle_set, table, utf8
 from lectern.llm.links import closure, components
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 2
@@ -71,7 +71,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (equal for equal sets), 32 band hashes and the packed low bits; the arrays are null for an empty set."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, _SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, _sign, _SIGNED)
 
 
 def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +138,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             firsts = nodes.join(wanted, "id", "left_semi").select(F.col("id").alias("doc_id"), "set_key")
             live.append(table(ids.join(firsts.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text", F.xxhash64("text").alias("k")).dropDuplicates(["doc_id", "k"]), "minhash"))
         a, b = live[0].select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), F.col("k").alias("ka")), live[0].select(F.col("doc_id").alias("b"), F.col("text").alias("tb"), F.col("k").alias("kb"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb", "ka", "kb").mapInArrow(lambda it: _confirm(it, percent), pairs.select("a", "b").schema)
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb", "ka", "kb").transform(map_arrow, lambda it: _confirm(it, percent), pairs.select("a", "b").schema)
 
     def wider(wanted: DataFrame) -> DataFrame:
         texts = live[0].select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
-        return texts.mapInArrow(_widen, "id long, wide array<long>")
+        return texts.transform(map_arrow, _widen, "id long, wide array<long>")
 
     label = closure(nodes.select("id", "n_shingles", "packed"), buckets, near, verify, "minhash", wider)
     split = some.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id")

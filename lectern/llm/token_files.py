@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table
+from lectern.llm.common import map_arrow, table
 
 MAGIC = b"IDPLANE1"
 BLOCK, SHARD, END = 1 << 15, 1 << 20, 1
@@ -137,7 +137,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, bits: bool = False) -> DataFra
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return table(ordered.mapInArrow(run, "part long, shard long, n_ids long, content binary"), "ids")
+    return table(ordered.transform(map_arrow, run, "part long, shard long, n_ids long, content binary"), "ids")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(at, size, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * len(docs), pa.int64()), pa.array([shard.as_py()] * len(docs), pa.int64()), pa.array([d for d, _ in docs], pa.int64()), pa.array(at, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())], names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    found = files.select("part", "shard", "content").mapInArrow(run, "part long, shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    found = files.select("part", "shard", "content").transform(map_arrow, run, "part long, shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table
+from lectern.llm.common import map_arrow, table
 
 BUCKET, QUERIES, SCALE = 2048, 256, 1024
 #: From this local cosine on, coordinates prune better than lengths.
@@ -59,7 +59,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 def blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
     """Vectors of one dimension and like length side by side, up to size in a row, longest first."""
     order = [F.col("dim").asc(), F.col("norm").desc()]
-    return table(vectors.repartitionByRange(*order, F.col("vec_id").asc()).sortWithinPartitions(*order, "vec_id").mapInArrow(lambda it: _blocks(it, size), _BLOCK), name)
+    return table(vectors.repartitionByRange(*order, F.col("vec_id").asc()).sortWithinPartitions(*order, "vec_id").transform(map_arrow, lambda it: _blocks(it, size), _BLOCK), name)
 
 
 def _arrays(ids: bytes, sums: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
                 need = np.where((least > 0) & (qn > 0), least / np.maximum(qn, 1e-300), 0.0)
                 yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([need.min() * (1 - 1e-9)], pa.float64()), pa.array([least.astype("<f8").tobytes()], pa.binary())], names=["block", "need", "least"])
 
-    bound = asked.join(first, "dim").mapInArrow(begin, "block long, need double, least binary")
+    bound = asked.join(first, "dim").transform(map_arrow, begin, "block long, need double, least binary")
     asked = table(asked.join(bound, "block"), "queries")
     # Query blocks go to every shard of their dimension, buckets to one: as many shards as 16 buckets each need.
     shards = F.ceil(F.count("*") / F.lit(4)).cast("int").alias("shards")
@@ -148,6 +148,6 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "query_key", "vec_id", "score"])
 
-    hits = near.mapInArrow(search, "query_id long, query_key long, vec_id long, score long")
+    hits = near.transform(map_arrow, search, "query_id long, query_key long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_key").orderBy(F.col("score").desc(), F.col("vec_id").asc()))
     return hits.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "query_key")

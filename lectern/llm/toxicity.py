@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import mix64, shingle_set, table, utf8
+from lectern.llm.common import map_arrow, mix64, shingle_set, table, utf8
 
 #: At most about so many labelled rows train the lexicon and the weights, picked by a hash of their ids.
 TRAIN_ROWS = 20_000
@@ -132,7 +132,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_copies(sample: DataFrame) -> DataFrame:
     """Near copies are no further evidence for their words: one row stays of those that share one of four minima over their 5-word shingles."""
-    out = sample.select("doc_id", "text", "toxic").mapInArrow(_keys, "doc_id long, text string, toxic int, k0 long, k1 long, k2 long, k3 long")
+    out = sample.select("doc_id", "text", "toxic").transform(map_arrow, _keys, "doc_id long, text string, toxic int, k0 long, k1 long, k2 long, k3 long")
     for i in range(4):
         out = out.dropDuplicates([f"k{i}"])
     return out.select("doc_id", "text", "toxic")
@@ -144,7 +144,7 @@ def learn_terms(sample: DataFrame) -> list[str]:
     if not n[1] or n[1] == n[0]:
         return []
     rate = n[1] / n[0]
-    counted = table(sample.select("text", "toxic").mapInArrow(_count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 1"), "toxic")
+    counted = table(sample.select("text", "toxic").transform(map_arrow, _count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 1"), "toxic")
     tried = max(1, counted.count())
     share = F.col("a") / (F.col("a") + F.col("b"))
     surprise = F.col("a") * F.log(share / rate) + F.when(share < 1, F.col("b") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
@@ -223,7 +223,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     weights = None
     if terms:
-        seen = sample.select("toxic", "text").mapInArrow(measure, "toxic int, x array<double>").toArrow()
+        seen = sample.select("toxic", "text").transform(map_arrow, measure, "toxic int, x array<double>").toArrow()
         weights = fit(np.array(seen.column("x").to_pylist()), seen.column("toxic").to_numpy().astype(float))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,4 +236,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([held_out(d) for d in ids], pa.bool_()), pa.array(p, pa.float64()), pa.array([int(v >= 0.5) for v in p], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.transform(map_arrow, score, "doc_id long, held_out boolean, score double, predicted int")
