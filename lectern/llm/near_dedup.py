@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash.
 
 Of 128 minima of a document's shingle hashes, bands of four give the candidates, and
-two low bits of each minimum, packed into four longs, give a collision-corrected
+two bits of a hash of each minimum, packed into four longs, give a collision-corrected
 estimate of the similarity by bit counts. What the estimate leaves is confirmed on the
 full shingle sets.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow, shingle_set, table, utf8
+from lectern.llm.common import map_arrow, mix64, shingle_set, table, utf8
 from lectern.llm.links import closure, components
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 2
@@ -39,9 +39,14 @@ def minima(shingles: np.ndarray, which: slice = slice(PERMUTATIONS)) -> np.ndarr
     return low
 
 
-def packed(low: np.ndarray) -> np.ndarray:
-    """The two low bits of each minimum, those of 32 minima in a 64-bit word."""
-    bits = (low & np.uint32(3)).astype(np.uint64).reshape(-1, 32)
+def packed(low: np.ndarray, first: int = 0) -> np.ndarray:
+    """Two bits of each minimum, those of 32 minima in a 64-bit word; first is the number of the first slot.
+
+    Under a * h + b with odd a, the low bits of two minima agree in all slots or in none, so the bits
+    are those of a hash of the minimum and its slot's number: unlike minima agree in a quarter of the slots.
+    """
+    slot = np.arange(first, first + len(low), dtype=np.uint64) << np.uint64(32)
+    bits = (mix64(low.astype(np.uint64) | slot) & np.uint64(3)).reshape(-1, 32)
     return np.bitwise_or.reduce(bits << (np.arange(32, dtype=np.uint64) * np.uint64(BITS)), axis=1)
 
 
@@ -70,13 +75,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets), 32 band hashes and the packed low bits; the arrays are null for an empty set."""
+    """doc_id, n_shingles, set_key (equal for equal sets), 32 band hashes and the packed bits; the arrays are null for an empty set."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, _sign, _SIGNED)
 
 
 def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        wide = [packed(minima(s, slice(PERMUTATIONS, None))).view(np.int64) if len(s) else None for s in map(shingle_set, utf8(batch.column("text")))]
+        wide = [packed(minima(s, slice(PERMUTATIONS, None)), PERMUTATIONS).view(np.int64) if len(s) else None for s in map(shingle_set, utf8(batch.column("text")))]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(wide, pa.list_(pa.int64()))], names=["id", "wide"])
 
 
