@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import byte_bpe
 from lectern.llm.common import read, table
-from lectern.llm.line_dedup import drop_repeated_lines
+from lectern.llm.line_dedup import BANDS, drop_repeated_lines
 from lectern.llm.mixing import mix
 from lectern.llm.near_dedup import near_duplicates
 from lectern.llm.toxicity import toxicity
@@ -29,7 +29,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go, and documents made of nothing else."""
-    left = drop_repeated_lines(docs.select(*COLUMNS))
+    left = drop_repeated_lines(docs.select(*COLUMNS), BANDS, 1)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -4,7 +4,8 @@ Lines within an edit distance t share one of t + 1 segments: a line is cut into
 segments under keys of its length, the segment's number and its hash, and probes the keys
 of every length up to t below its own with the substrings that could be such a segment.
 Pairs that meet are held against each other by a parity sketch of their character pairs and
-then by a banded bit-parallel edit distance.
+then by a banded bit-parallel edit distance. The threshold t may grow with the shorter line's
+length; lines too short for it are linked where they are equal.
 """
 
 from __future__ import annotations
@@ -22,10 +23,21 @@ from lectern.llm.links import closure
 
 #: Edit distance of near lines, and the least length of a line that is compared at all.
 DISTANCE, LEAST = 1, 20
+#: Edit distance of near lines by the shorter one's least length: none below 20 characters, so that such lines are linked only where equal.
+BANDS = ((0, 0), (20, 1), (128, 2), (512, 3))
 SKETCH = 128
 _LINES = "doc_id long, line_no int, n int, digest binary, keys array<long>, sketch array<long>"
 
 
+def allowed(length: int, t: int | tuple) -> int:
+    """The threshold for a shorter line of this length: t itself, or that of the last of its bands (least length, threshold) that begins there or before."""
+    return t if isinstance(t, int) else max((b for b in t if b[0] <= length), default=(0, 0))[1]
+
+
+def most(t: int | tuple) -> int:
+    return t if isinstance(t, int) else max(x for _, x in t)
+
+
 def split(text: str) -> list[str]:
     return [x.strip() for x in text.split("\n")]
 
@@ -41,19 +53,21 @@ def segments(length: int, t: int) -> list[tuple[int, int]]:
     return out
 
 
-def _plan(length: int, t: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _plan(length: int, t: int | tuple, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and (length, segment) marks of all substrings under which a line of this length is indexed or probes."""
     found = set()
-    for other in range(max(least, length - t), length + 1):
-        gap = length - other
-        for i, (p, n) in enumerate(segments(other, t)):
-            low = max(0, p - i, p + gap - (t - i))
-            high = min(length - n, p + i, p + gap + (t - i))
-            found |= {(s, s + n, other * (t + 1) + i) for s in range(low, high + 1)}
-    return tuple(np.array(x, dtype=np.int64) for x in zip(*sorted(found), strict=True))
-
-
-def edits(batches: Iterator[pa.RecordBatch], t: int, least: int) -> Iterator[pa.RecordBatch]:
+    for other in range(max(least, length - most(t)), length + 1):
+        gap, d = length - other, allowed(other, t)
+        if not d or gap > d:
+            continue  # equal lines meet by their digest
+        for i, (p, n) in enumerate(segments(other, d)):
+            low = max(0, p - i, p + gap - (d - i))
+            high = min(length - n, p + i, p + gap + (d - i))
+            found |= {(s, s + n, other * (most(t) + 1) + i) for s in range(low, high + 1)}
+    return tuple(np.array(sorted(found), dtype=np.int64).reshape(-1, 3).T)
+
+
+def edits(batches: Iterator[pa.RecordBatch], t: int | tuple, least: int) -> Iterator[pa.RecordBatch]:
     plans: dict[int, tuple] = {}
     longs = pa.list_(pa.int64())
     for batch in batches:
@@ -158,13 +172,14 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "line_no", "line"])
 
 
-def line_classes(docs: DataFrame, distance: int = DISTANCE, least: int = LEAST) -> DataFrame:
+def line_classes(docs: DataFrame, distance: int | tuple = DISTANCE, least: int = LEAST) -> DataFrame:
     """doc_id, line_no, class_doc_id, class_line_no and kept of each line of at least `least` characters of docs (doc_id, text).
 
     Lines are what newlines separate, without white space at either end, numbered from 0. Equal
-    lines and lines within `distance` edits are linked; a class is named by its first place, by
+    lines and lines within `distance` edits are linked; bands (least length, distance), such as BANDS,
+    set the distance by the shorter line's length. A class is named by its first place, by
     doc_id and then line_no, and only the line there is kept. Shorter lines, null and empty texts give
-    no rows, nor does a row without doc_id. Rows that repeat a doc_id share its lines' places.
+    no rows (with `least` 0, empty lines do), nor does a row without doc_id. Rows that repeat a doc_id share its lines' places.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = table(rows.transform(map_arrow, lambda it: edits(it, distance, least), _LINES), "lines")
@@ -175,7 +190,14 @@ def line_classes(docs: DataFrame, distance: int = DISTANCE, least: int = LEAST)
 
     def near(a: Column, b: Column, fine: bool) -> Column:
         unlike = sum((F.bit_count(a["sketch"][i].bitwiseXOR(b["sketch"][i])) for i in range(2)), F.lit(0))
-        return (F.abs(a["n"] - b["n"]) <= distance) & (unlike <= 4 * distance)
+        t = F.lit(distance) if isinstance(distance, int) else by_length(F.least(a["n"], b["n"]))
+        return (F.abs(a["n"] - b["n"]) <= t) & (unlike <= 4 * t)
+
+    def by_length(n: Column) -> Column:
+        t = F.lit(0)
+        for start, d in sorted(distance):
+            t = F.when(n >= start, d).otherwise(t)
+        return t
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -185,7 +207,13 @@ def line_classes(docs: DataFrame, distance: int = DISTANCE, least: int = LEAST)
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.select(["a", "b"]).filter(pa.array(within(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), distance), pa.bool_()))
+                ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
+                t = np.array([allowed(min(len(x), len(y)), distance) for x, y in zip(ta, tb, strict=True)], dtype=np.int64)
+                keep = np.zeros(len(ta), dtype=bool)
+                for d in np.unique(t).tolist():
+                    at = np.flatnonzero(t == d)
+                    keep[at] = within([ta[i] for i in at], [tb[i] for i in at], d)
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").transform(map_arrow, check, pairs.select("a", "b").schema)
 
@@ -210,7 +238,7 @@ def _without(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*cols, empty], names=[*batch.schema.names[:-1], batch.schema.names[-1]])
 
 
-def drop_repeated_lines(docs: DataFrame, distance: int = DISTANCE, least: int = LEAST) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, distance: int | tuple = DISTANCE, least: int = LEAST) -> DataFrame:
     """docs without the lines that line_classes() doesn't keep, and without documents of which nothing is left. Other columns stay as they are."""
     gone = line_classes(docs, distance, least).where("not kept").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
     both = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").select(*docs.columns, "__gone")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import byte_bpe, media, mixing, token_files
 from lectern.llm.common import read
-from lectern.llm.line_dedup import line_classes
+from lectern.llm.line_dedup import BANDS, line_classes
 from lectern.llm.near_dedup import near_duplicates
 from lectern.llm.quality import quality
 from lectern.llm.secrets import find_secrets
@@ -26,7 +26,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_classes(read(spark, sf_dir, "documents"))
+    return line_classes(read(spark, sf_dir, "documents"), BANDS, 1)
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
