@@ -16,18 +16,51 @@ from lectern.llm import webp
 from lectern.llm.common import map_arrow, table, utf8
 
 LINE, TALLEST = 64, 1 << 14
+#: Share of windows seen before from which copies are looked for.
+REPEATED = 0.3
+
+
+def _bits(values: np.ndarray) -> float:
+    """The bits of values in an ideal code of their own frequencies."""
+    n = np.bincount(values)
+    n = n[n > 0]
+    return float((n * np.log2(len(values) / n)).sum())
+
+
+def _repeats(data: np.ndarray) -> float:
+    """The share of 8-byte windows that have come before, by a hash."""
+    if len(data) < 16:
+        return 0.0
+    b = np.ascontiguousarray(data)
+    windows = np.ndarray((len(b) - 7,), "<u8", buffer=b.data, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+    windows.sort()
+    return float((windows[1:] == windows[:-1]).mean())
+
+
+def choose(data: np.ndarray) -> dict:
+    """How to encode a payload, by its numbers: the palette where pixels bundle by it (up to 16 values), copies where much repeats, the left pixel as predictor where steps take fewer bits than values."""
+    if np.count_nonzero(np.bincount(data, minlength=256)) <= 16:
+        return {"palette": True}
+    if _repeats(data) >= REPEATED:
+        return {"copies": True}
+    steps = np.diff(data, prepend=data[:1])  # modulo 256
+    return {"predict": True} if _bits(steps) < _bits(data) else {}
 
 
 def to_image(data: bytes | np.ndarray) -> bytes:
-    """A WebP file whose green samples are the bytes, zero-padded to a positive multiple of 64, in rows; the palette transform holds the bytes in use.
+    """A WebP file whose green samples are the bytes, zero-padded to a positive multiple of 64, in rows; choose() sets the transforms.
 
     Rows have 64 samples, more where the image would be too tall; a chunk PLEN then has the payload's length.
     """
     n = max(LINE, -(-len(data) // LINE) * LINE)
     width = LINE * -(-n // (LINE * TALLEST))
-    argb = np.full((-(-n // width), width), 0xFF000000, dtype=np.uint32)
-    argb.reshape(-1)[: len(data)] |= np.frombuffer(data, np.uint8).astype(np.uint32) << np.uint32(8)
-    return webp.encode(None, argb=argb, palette=True, more={} if argb.size == n else {b"PLEN": struct.pack("<Q", n)})
+    green = np.zeros((-(-n // width), width), dtype=np.uint8)
+    green.reshape(-1)[: len(data)] = np.frombuffer(data, np.uint8)
+    how = choose(green.reshape(-1)[:n])
+    if how.pop("predict", False):
+        how |= {"predict": np.ones((-(-len(green) // 512), -(-width // 512)), dtype=np.uint8), "shift": 9}
+    argb = green.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000)
+    return webp.encode(None, argb=argb, more={} if argb.size == n else {b"PLEN": struct.pack("<Q", n)}, **how)
 
 
 def from_image(data: bytes) -> np.ndarray:

@@ -7,6 +7,7 @@ features. Pixels are numpy arrays of height x width x (alpha, red, green, blue).
 
 from __future__ import annotations
 
+import functools
 import heapq
 import struct
 
@@ -26,6 +27,7 @@ PLANE = [
 ]
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 GREENS, DISTANCES, HASH = 256 + 24, 40, 0x1E35A7BD
+_C1 = np.uint64(0x9E3779B97F4A7C15)
 BLACK = np.array([255, 0, 0, 0], dtype=np.uint8)
 
 
@@ -149,6 +151,9 @@ def _extra(bits: Bits, p: int) -> int:
     return ((2 + (p & 1)) << n) + bits.take(n) + 1
 
 
+_EIGHT, _PLACES = np.arange(8), np.arange(8 << 16)
+
+
 def _literal_run(bits: Bits, code: tuple[list[int], int, np.ndarray], total: int) -> np.ndarray:
     """Green symbols of up to total pixels whose other channels take no bits, until a symbol is no literal.
 
@@ -162,23 +167,22 @@ def _literal_run(bits: Bits, code: tuple[list[int], int, np.ndarray], total: int
     data, stretch = np.frombuffer(bits.data, dtype=np.uint8), 1 << 16
     while n < total:
         first = bits.at >> 3
-        part = data[first : first + stretch + 2].astype(np.uint32)
+        part = data[first : first + stretch + 2].astype(np.int64)
         words = part[:-2] | part[1:-1] << 8 | part[2:] << 16
-        step = table[(words[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << most) - 1)].ravel()
+        step = table.take(((words[:, None] >> _EIGHT) & ((1 << most) - 1)).ravel())
         end = len(step)
-        # The place after one code, and by doubling after two, four and eight; the walk takes eight codes a step.
-        one = np.minimum(np.arange(end + 1, dtype=np.int32) + np.r_[step & 15, 0].astype(np.int32), end)
-        two = one[one]
-        four = two[two]
-        eight, pos, heads = memoryview(four[four]), bits.at & 7, []
+        # The place after one code, and by doubling after two and four; the walk takes four codes a step.
+        one = np.full(end + 1, end, dtype=np.int64)
+        np.minimum(_PLACES[:end] + (step & 15), end, out=one[:-1])
+        two = one.take(one)
+        four, pos, heads = memoryview(two.take(two)), bits.at & 7, []
         while pos < end:
             heads.append(pos)
-            pos = eight[pos]
-        walk = np.empty((len(heads), 8), dtype=np.int32)
+            pos = four[pos]
+        walk = np.empty((len(heads), 4), dtype=np.int64)
         walk[:, 0] = heads
-        walk[:, 4] = four[walk[:, 0]]
-        walk[:, 2::4] = two[walk[:, 0::4]]
-        walk[:, 1::2] = one[walk[:, 0::2]]
+        walk[:, 2] = two.take(walk[:, 0])
+        walk[:, 1::2] = one.take(walk[:, 0::2])
         walk = walk.ravel()
         found = step[walk[walk < end]][: total - n]
         other = np.flatnonzero(found >= 4096)
@@ -235,8 +239,10 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
                 d = max(1, x + y * width)
             if d > n or n + length > total:
                 raise ValueError("a back-reference leaves the image")
-            for _ in range(length):
-                px.append(px[-d])
+            while length:  # a copy that reaches into itself repeats what is there
+                part = px[n - d : n - d + length]
+                px += part
+                length -= len(part)
         else:
             if cache is None:
                 raise ValueError("no colour cache")
@@ -421,6 +427,19 @@ class Out:
         self.parts.append(bits)
         self.value = self.n = 0
 
+    def codes(self, code: np.ndarray, size: np.ndarray) -> None:
+        """Many codes of up to 15 bits at once: those that begin in one 32-bit word are summed there, and what passes its end goes to the next word."""
+        end = np.cumsum(size)
+        at = end - size
+        word = at >> 5
+        wide = code << (at & 31).astype(np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        total = np.add.reduceat(wide, first) if len(first) else np.empty(0, np.uint64)
+        words = np.zeros(int(end[-1] if len(end) else 0) // 32 + 2, dtype=np.uint64)
+        words[word[first]] = total & np.uint64(0xFFFFFFFF)
+        words[word[first] + 1] |= total >> np.uint64(32)
+        self.stream(np.unpackbits(words.astype("<u4").view(np.uint8), bitorder="little")[: int(end[-1]) if len(end) else 0])
+
     def bytes(self) -> bytes:
         self.stream(np.empty(0, np.uint8))
         return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
@@ -495,13 +514,20 @@ def _tokens(argb: list[int], cache_bits: int, copies: bool) -> list[tuple]:
     """('lit', colour), ('copy', length, distance) and ('cache', index): greedy matches of the last place with the same next pixels."""
     out, seen, i, n = [], {}, 0, len(argb)
     cache: dict[int, int] = {}
+    each = np.array(argb, dtype=np.uint64)
+    keys = ((each[:-2] * _C1 + each[1:-1]) * _C1 + each[2:]).tolist() + [-1, -2] if n > 2 else [-1] * n
     while i < n:
         length = far = 0
-        key = tuple(argb[i : i + 3])
-        if copies and key in seen and len(key) == 3:
-            far = i - seen[key]
-            while i + length < n and length < 4096 and argb[i + length] == argb[i + length - far]:
-                length += 1
+        if copies and keys[i] in seen:
+            far = i - seen[keys[i]]
+            step, most = 1, min(n - i, 4096)
+            while length < most and argb[i + length : i + length + step] == argb[i + length - far : i + length - far + step] and length + step <= most:
+                length += step
+                step *= 2
+            while step:
+                if length + step <= most and argb[i + length : i + length + step] == argb[i + length - far : i + length - far + step]:
+                    length += step
+                step //= 2
         place = (HASH * argb[i] & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
         if length >= 3:
             out.append(("copy", length, far))
@@ -511,14 +537,24 @@ def _tokens(argb: list[int], cache_bits: int, copies: bool) -> list[tuple]:
         else:
             out.append(("lit", argb[i]))
             length = 1
-        for j in range(i, i + length):
-            seen[tuple(argb[j : j + 3])] = j
-            if cache_bits:
+        if copies:
+            seen.update(zip(keys[i : i + length], range(i, i + length)))
+        if cache_bits:
+            for j in range(i, i + length):
                 cache[(HASH * argb[j] & 0xFFFFFFFF) >> (32 - cache_bits)] = argb[j]
         i += length
     return out
 
 
+@functools.cache
+def _near(width: int) -> dict[int, int]:
+    """The first distance code of each distance that has one of the plane's."""
+    out: dict[int, int] = {}
+    for k, (x, y) in enumerate(PLANE):
+        out.setdefault(x + y * width, k + 1)
+    return out
+
+
 def _put_image(out: Out, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, copies: bool = False, groups: np.ndarray | None = None, shift: int = 4) -> None:
     """groups: the prefix code group of each block of 1 << shift pixels, or None for one."""
     out.put(bool(cache_bits), 1)
@@ -540,20 +576,18 @@ def _put_image(out: Out, argb: np.ndarray, width: int, main: bool, cache_bits: i
             _put_code(out, of)
         _put_code(out, [0] * DISTANCES)
         table = codes(lengths)
-        code, size = np.zeros(256, dtype=np.uint32), np.zeros(256, dtype=np.int64)
+        code, size = np.zeros(256, dtype=np.uint64), np.zeros(256, dtype=np.int64)
         for i, (b, n) in table.items():
             code[i], size[i] = b, n
         for i in range(0, len(green), 1 << 20):
             part = green[i : i + (1 << 20)]
-            n = size[part]
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.stream((np.repeat(code[part], n) >> within.astype(np.uint32) & 1).astype(np.uint8))
+            out.codes(code[part], size[part])
         return
     tokens = _tokens(argb.tolist(), cache_bits, copies)
     count = int(groups.max()) + 1 if groups is not None else 1
     sizes = (GREENS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
     freq = [[[0] * n for n in sizes] for _ in range(count)]
-    plan, at = [], 0
+    plan, at, near = [], 0, _near(width)
     for t in tokens:
         g = int(groups[(at // width) >> shift, (at % width) >> shift]) if groups is not None else 0
         if t[0] == "lit":
@@ -563,7 +597,7 @@ def _put_image(out: Out, argb: np.ndarray, width: int, main: bool, cache_bits: i
             parts = [(0, GREENS + t[1], 0, 0)]
             at += 1
         else:
-            p, d = prefix(t[1]), next((k + 1 for k, (x, y) in enumerate(PLANE) if x + y * width == t[2]), t[2] + 120)
+            p, d = prefix(t[1]), near.get(t[2], t[2] + 120)
             q = prefix(d)
             parts = [(0, 256 + p[0], *p[1:]), (4, *q)]
             at += t[1]
