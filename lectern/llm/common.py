@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -102,3 +103,54 @@ def utf8(column: pa.Array) -> list[np.ndarray]:
     data = column.buffers()[2]
     b = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.empty(0, dtype=np.uint8)
     return [b[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All strings' UTF-8 bytes as one view of the Arrow buffer, and where each begins and the last one ends; nulls are empty."""
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64, count=len(column) + column.offset + 1)[column.offset :]
+    data = column.buffers()[2]
+    b = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.empty(0, dtype=np.uint8)
+    return b[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+class Memo:
+    """What make(strings) gives for each of them: strings of up to `longest` characters are remembered, and of `most` and more of them those that recur."""
+
+    def __init__(self, make: Callable[[list[str]], list], most: int, longest: int = 64):
+        self.make, self.most, self.longest, self.now, self.old = make, most, longest, {}, {}
+
+    def __call__(self, words: list[str]) -> list:
+        new = [w for w in words if w not in self.now]
+        if len(self.now) + len(new) > self.most:
+            self.old, self.now, new = self.now, {}, words
+        rest, found = [], {}
+        for w in new:
+            if w in self.old:
+                found[w] = self.old[w]
+            else:
+                rest.append(w)
+        found.update(zip(rest, self.make(rest), strict=True))
+        self.now.update(found)
+        out = [self.now[w] for w in words]
+        for w in rest:
+            if len(w) > self.longest:
+                del self.now[w]
+        return out
+
+
+def spaced(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Texts cut at every space: where each text's words begin and the last one's end, which of the distinct words each is, and those. Nulls are empty, an empty text is one empty word."""
+    cut = pc.split_pattern(column.cast(pa.large_string()).fill_null(""), " ")
+    words = cut.flatten().dictionary_encode()
+    offsets = cut.offsets.to_numpy()
+    return offsets - offsets[0], words.indices.to_numpy(), words.dictionary.to_pylist()
+
+
+def gathered(each: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The packed 32-bit numbers each[i] of all i of which, one after the other, and how many come before each i and in all."""
+    size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+    pool, start = np.frombuffer(b"".join(each), "<u4"), np.cumsum(size) - size
+    count = size[which]
+    before = np.r_[0, np.cumsum(count)]
+    return pool[np.repeat(start[which] - before[:-1], count) + np.arange(before[-1])], before

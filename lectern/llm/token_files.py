@@ -12,16 +12,16 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow, table
+from lectern.llm.common import Memo, gathered, joined, map_arrow, spaced, table
 
 MAGIC = b"IDPLANE1"
 BLOCK, SHARD, END = 1 << 15, 1 << 20, 1
@@ -75,23 +75,85 @@ def decode_file(data: bytes) -> tuple[np.ndarray, list[tuple[int | None, int]]]:
     return np.concatenate(parts) if parts else np.empty(0, "<u4"), [tuple(x) for x in index["docs"]]
 
 
+#: Signs cut off the letter before them: the tokenizer never joins the two, nor do they compose with what may stand before.
+_SIGNS = np.zeros(256, dtype=bool)
+_SIGNS[list(b".,;:!?*$%#")] = True
+_UPPER = np.arange(256) - 65 < 26
+_UPPER[:65] = False
+_LETTER = _UPPER | np.roll(_UPPER, 32)
+
+
+def plain(texts: pa.Array) -> pa.Array:
+    """Texts with fewer distinct words and the same ids: spaces for newlines and tabs and between an ASCII letter and a sign, lower-case ASCII letters.
+
+    A capital before a non-ASCII character may compose with it and stays; so do all where `<|` could begin a special token.
+    """
+    b, moved = joined(texts)
+    if not len(b):
+        return texts
+    b = b.copy()
+    b[(b == 9) | (b == 10)] = 32
+    cut = np.flatnonzero(_LETTER[b[:-1]] & _SIGNS[b[1:]]) + 1
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        b[_UPPER[b] & (np.r_[b[1:], np.uint8(0)] < 128)] += 32
+    cut = cut[~np.isin(cut, moved)]  # a text's first character has none before it
+    moved = moved + np.searchsorted(cut, moved)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(moved), pa.py_buffer(np.insert(b, cut, 32)))
+
+
 class Words:
     """Ids by the library, of whole texts word by word: the tokenizer drops white space and merges nothing across it."""
 
+    #: Stands between words that are encoded in one call; a word that has it goes alone.
+    BETWEEN = "\x01"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.old = Tokenizer.from_file(path), {}, {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        if new := set(words).difference(self.memo):
-            if len(self.memo) + len(new) > MEMO:  # words that come back stay, from one half to the next
-                self.old, self.memo, new = self.memo, {}, set(words)
-            self.memo.update((w, self.old[w]) for w in new.intersection(self.old))
-            if rest := [*new.difference(self.old)]:
-                self.memo.update(zip(rest, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-        return np.fromiter(chain.from_iterable(map(self.memo.__getitem__, words)), dtype="<u4")
+        self.tokenizer, self.memo = Tokenizer.from_file(path), Memo(self._encode, MEMO)
+        self.between = self._ids([self.BETWEEN])[0].tolist()
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in names.items() if w.endswith("</w>")]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Each word's packed ids. Words of Latin letters alone have one end of word each and are cut there; others stand between marks."""
+        out: dict[str, bytes] = {}
+        latin = [w for w in words if w.isalpha() and max(w) < "\u0250"]
+        for i in range(0, len(latin), 1000):
+            some = latin[i : i + 1000]
+            (ids,) = self._ids([" ".join(some)])
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                out.update(zip(some, self._cut(ids, ends.tolist(), 0), strict=True))
+        rest = [w for w in words if w not in out]
+        if len(self.between) == 1:
+            some = [w for w in rest if self.BETWEEN not in w]
+            for i in range(0, len(some), 1000):
+                part = some[i : i + 1000]
+                (ids,) = self._ids([f" {self.BETWEEN} ".join(part)])
+                ends = np.flatnonzero(ids == self.between[0]).tolist()
+                if len(ends) == len(part) - 1:
+                    out.update(zip(part, self._cut(ids, [*ends, len(ids)], 1), strict=True))
+        rest = [w for w in rest if w not in out]
+        out.update(zip(rest, (x.tobytes() for x in self._ids(rest)), strict=True))
+        return [out[w] for w in words]
+
+    @staticmethod
+    def _cut(ids: np.ndarray, ends: list[int], skip: int) -> Iterator[bytes]:
+        raw, at = ids.tobytes(), 0
+        for end in ends:
+            yield raw[4 * at : 4 * end]
+            at = end + skip
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in order, and how many come before each text and in all."""
+        start, which, words = spaced(plain(texts))
+        ids, before = gathered(self.memo(words), which)
+        return ids, before[start]
 
 
 _words: dict[str, Words] = {}
@@ -117,6 +179,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, bits: bool = False) -> DataFra
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = held_words(tokenizer)
+        end = np.array([END], "<u4")
         part, shard, ids, held, n = TaskContext.get().partitionId(), 0, [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -124,11 +187,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, bits: bool = False) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([content], pa.large_binary()).cast(pa.binary())], names=["part", "shard", "n_ids", "content"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                found = words(text.as_py() or "")
-                ids += [found, np.array([END], "<u4")]
-                held.append((doc, len(found) + 1))
-                n += len(found) + 1
+            every, start = words(batch.column("text"))
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), start[:-1].tolist(), start[1:].tolist(), strict=True):
+                ids += [every[a:b], end]
+                held.append((doc, b - a + 1))
+                n += b - a + 1
                 if n >= SHARD:
                     yield close()
                     shard, ids, held, n = shard + 1, [], [], 0
@@ -136,7 +199,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, bits: bool = False) -> DataFra
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*key).sortWithinPartitions(*key, "text")
     return table(ordered.transform(map_arrow, run, "part long, shard long, n_ids long, content binary"), "ids")
 
 
