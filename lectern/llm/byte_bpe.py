@@ -4,17 +4,16 @@ A text's pieces are the matches of the tokenizer's pattern. The commonest distin
 the corpus, counted over all of it, are folded by ranked merges with Spark's higher-order
 functions: a piece's bytes, one character each in ISO-8859-1, and each step joins the adjacent
 pair of the lowest rank. The ranks stand in a literal array of small maps, found by a hash.
-Texts are then put together from the folded pieces in map tasks; a piece too rare to be held
-is merged where it occurs, by the same rule. Decoding concatenates the ids' byte strings.
+Texts are then put together from the folded pieces in map tasks; pieces too rare to be held
+are merged where they occur, many at once, by the same rule. Decoding concatenates the ids' byte strings.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
-import re
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow, table
+from lectern.llm.common import Memo, gathered, joined, map_arrow, table
 
 #: Slots of the literal array; pieces held ready, and their longest length in bytes, so at most 16 MB are broadcast.
 SLOTS, READY, LONGEST = 1 << 15, 1 << 17, 64
-#: Words a Python worker counts before it passes them on, and words it remembers in each of two halves; these bound its memory only.
+#: Pieces a Python worker counts before it passes them on, and pieces it remembers in each of two halves; these bound its memory only.
 HELD, MEMO = 200_000, 100_000
-#: Rows a map task works on and hands back at a time.
+#: Rows a map task hands back at a time.
 STEP = 256
 NONE, ROOM = 2**31 - 1, 1 << 30
 #: Stands at both ends of the parts; no piece in ISO-8859-1 has it.
@@ -106,12 +105,83 @@ def latin(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-_GAP, _ODD = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
+#: The pattern whose matches pieces() finds by runs of character classes; fixed value.
+RUNS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+OTHER, LETTER, NUMBER, WHITE = range(4)
 
 
-def words(text: str) -> list[str]:
-    """A text cut at each space before another character, where a piece always begins; the space itself goes."""
-    return _GAP.split(text) if _ODD.search(text) else text.split(" ")
+@functools.cache
+def classes() -> np.ndarray:
+    """The class of each code point."""
+    import regex
+
+    code = np.r_[0:0xD800, 0xE000:0x110000]
+    every, out = "".join(map(chr, code.tolist())), np.zeros(0x110000, dtype=np.uint8)
+    for kind, name in ((LETTER, "L"), (NUMBER, "N"), (WHITE, "White_Space")):
+        for m in regex.finditer(rf"\p{{{name}}}+", every):
+            out[code[m.start() : m.end()]] = kind
+    return out
+
+
+def cuts(b: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Where in the UTF-8 bytes b of texts that begin and end at edge the matches of RUNS begin; they leave nothing between them.
+
+    A run of one class is a match, with a space that stands before it. Of white space before another
+    character, the last character is apart: it is that space, or a match of its own. An apostrophe
+    alone, without such a space, takes the letters of a contraction from the run behind it.
+    """
+    table_ = classes()
+    kind = table_[b]
+    lead = np.flatnonzero(b >= 0xC0)
+    if len(lead):
+        first = b[lead].astype(np.int32)
+        long = (first >= 0xE0).astype(np.int8) + (first >= 0xF0)
+        code = first & np.array([0x1F, 0x0F, 0x07])[long]
+        for k in range(1, 4):
+            at = lead + np.minimum(k, long + 1)
+            code = np.where(k <= long + 1, code << 6 | b[at] & 0x3F, code)
+        for k in range(4):
+            kind[lead + np.minimum(k, long + 1)] = table_[code]
+    begins = np.zeros(len(b), dtype=bool)
+    begins[edge[edge < len(b)]] = True
+    new = begins.copy()
+    new[1:] |= kind[1:] != kind[:-1]
+    run = np.flatnonzero(new)
+    end = np.r_[run[1:], len(b)]
+    within_ = np.r_[~begins[run[1:]], False]  # another run of the same text follows
+    white = (kind[run] == WHITE) & within_
+    last = end[white] - 1
+    for _ in range(3):
+        last = last - ((b[last] & 0xC0) == 0x80)
+    new[last] = True
+    new[end[white][b[last] == 32]] = False
+    quote = np.flatnonzero((end - run == 1) & within_ & (b[run] == 39) & new[run])
+    after = np.r_[b, np.zeros(2, np.uint8)]
+    at, size = run[quote] + 1, end[np.minimum(quote + 1, len(run) - 1)] - run[quote] - 1
+    letter = kind[np.minimum(at, len(b) - 1)] == LETTER
+    x, y = after[at], after[at + 1]
+    took = np.where(np.isin(x, list(b"stmd")), 1, np.where((size > 1) & (((x == 108) & (y == 108)) | (np.isin(x, list(b"rv")) & (y == 101))), 2, 0)) * letter
+    some = took > 0
+    new[at[some]] = False
+    rest = some & (size > took)
+    new[(at + took)[rest]] = True
+    return np.flatnonzero(new)
+
+
+def pieces(texts: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Where each text's matches of the pattern begin and the last one's end, which of the distinct matches each is, and those."""
+    if pattern == RUNS:
+        b, edge = joined(texts)
+        at = cuts(b, edge)
+        every = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.r_[at, len(b)].astype(np.int64)), pa.py_buffer(b))
+        start = np.searchsorted(at, edge)
+    else:
+        find = matcher(pattern)
+        found = [find(x or "") for x in texts.to_pylist()]
+        every = pa.array([p for x in found for p in x], pa.large_string())
+        start = np.cumsum([0, *map(len, found)])
+    coded = every.dictionary_encode()
+    return start, coded.indices.to_numpy(), coded.dictionary.to_pylist()
 
 
 def matcher(pattern: str) -> Callable[[str], list[str]]:
@@ -152,78 +222,130 @@ def merge(piece: bytes, known: dict[bytes, int]) -> bytes:
     return b"".join(out)
 
 
-def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of STEP rows, so that a task's results stay small."""
-    for batch in batches:
-        for i in range(0, len(batch), STEP):
-            yield batch.slice(i, STEP)
-
-
-class Words(dict):
-    """Packed ids of words behind a space, from folded pieces; what recurs is remembered."""
+def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of STEP rows, so that what a task hands back at a time stays small."""
+    for i in range(0, len(batch), STEP):
+        yield batch.slice(i, STEP)
+
+
+class Merges:
+    """Ranked merges of many short pieces at once: in each step every piece joins its leftmost pair of the lowest rank."""
+
+    def __init__(self, known: dict[bytes, int]):
+        self.known = known
+        pairs = {}
+        for token, rank in known.items():
+            for i in range(1, len(token)):
+                if token[:i] in known and token[i:] in known:
+                    pairs[known[token[:i]] << 32 | known[token[i:]]] = rank
+        self.keys = np.array(sorted(pairs), dtype=np.int64)
+        self.made = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int32)
+        self.byte = np.array([known[bytes([i])] for i in range(256)], dtype=np.int32)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of what each a and b join to; NONE where nothing, or where either is below 0."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.made[at], NONE)
+
+    def _some(self, some: list[bytes]) -> list[bytes]:
+        size = np.array(list(map(len, some)))
+        width = int(size.max())
+        parts = np.full((len(some), width + 1), -1, dtype=np.int32)
+        parts[:, :width][np.arange(width) < size[:, None]] = self.byte[np.frombuffer(b"".join(some), np.uint8)]
+        found = self.rank(parts[:, :-1], parts[:, 1:])
+        live, out, place = np.arange(len(some)), [b""] * len(some), np.arange(width)
+        while len(live):
+            at = found.argmin(axis=1)
+            row = np.arange(len(live))
+            best = found[row, at]
+            done = best == NONE
+            for i in np.flatnonzero(done).tolist():
+                out[live[i]] = parts[i, : size[live[i]]].astype("<u4").tobytes()
+            go = ~done
+            live, parts, found, at, best = live[go], parts[go], found[go], at[go], best[go]
+            if not len(live):
+                break
+            row = row[: len(live)]
+            size[live] -= 1
+            parts[row, at] = best
+            parts[:, 1:-1] = np.where(place[1:] > at[:, None], parts[:, 2:], parts[:, 1:-1])
+            found[:, :-1] = np.where(place[:-1] >= at[:, None], found[:, 1:], found[:, :-1])
+            parts[row, size[live]] = -1
+            found[row, size[live] - 1] = NONE
+            found[row, at] = self.rank(parts[row, at], parts[row, at + 1])
+            left = np.maximum(at - 1, 0)
+            found[row, left] = np.where(at > 0, self.rank(parts[row, left], parts[row, at]), found[row, left])
+        return out
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        raw = [w.encode() for w in words]
+        out = [self.known[p].to_bytes(4, "little") if p in self.known else None for p in raw]
+        short = sorted((i for i, p in enumerate(raw) if out[i] is None and len(p) <= LONGEST), key=lambda i: len(raw[i]))
+        for i in range(0, len(short), 8192):
+            some = short[i : i + 8192]
+            for k, v in zip(some, self._some([raw[k] for k in some]), strict=True):
+                out[k] = v
+        return [merge(p, self.known) if v is None else v for p, v in zip(raw, out, strict=True)]
+
+
+class Encoder:
+    """Ids of texts from folded pieces, and by merges of those too rare to be held."""
 
     def __init__(self, data: bytes, pattern: str):
-        self.known, self.ready, self.old, self.find = {}, {}, {}, matcher(pattern)
+        self.pattern, self.ready, known = pattern, {}, {}
         for batch in pa.ipc.open_stream(data):
             for folded_, k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if folded_:
                     self.ready[k.decode()] = v
                 else:
-                    self.known[k] = int.from_bytes(v, "little")
-
-    def ids(self, text: str) -> bytes:
-        ready, known = self.ready, self.known
-        return b"".join([ready[p] if p in ready else merge(p.encode(), known) for p in self.find(text)])
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.old[word] if word in self.old else self.ids(" " + word)
-        if len(word) <= LONGEST:
-            if len(self) >= MEMO:  # words that come back stay, from one half to the next
-                self.old = dict(self)
-                self.clear()
-            self[word] = found
-        return found
+                    known[k] = int.from_bytes(v, "little")
+        self.rare = Memo(Merges(known), MEMO, LONGEST)
 
-    def __call__(self, text: str) -> bytes:
-        first, *rest = words(text)
-        return self.ids(first) + b"".join(map(self.__getitem__, rest))
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in order, and how many come before each text and in all."""
+        start, which, words = pieces(texts, self.pattern)
+        each = [self.ready.get(w) for w in words]
+        missing = [i for i, v in enumerate(each) if v is None]
+        for i, v in zip(missing, self.rare([words[i] for i in missing]), strict=True):
+            each[i] = v
+        ids, before = gathered(each, which)
+        return ids, before[start]
 
 
-_held: dict[str, Words] = {}
+_held: dict[str, Encoder] = {}
 
 
-def held_words(token: str, data: bytes, pattern: str) -> Words:
-    """This Python worker's Words of the encoding named by token, kept from task to task."""
+def held_encoder(token: str, data: bytes, pattern: str) -> Encoder:
+    """This Python worker's Encoder of the encoding named by token, kept from task to task."""
     if token not in _held:
         _held.clear()
-        _held[token] = Words(data, pattern)
+        _held[token] = Encoder(data, pattern)
     return _held[token]
 
 
 def counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """k and count of each distinct piece of up to LONGEST bytes in docs' texts."""
+    """k and count of each distinct piece of up to LONGEST bytes in docs' texts; summed within each block of texts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, heads, rest = matcher(pattern), Counter(), Counter()
+        held: list[pa.Table] = []
+        size = 0
 
         def close() -> pa.RecordBatch:
-            out: Counter = Counter()
-            for space, held in (("", heads), (" ", rest)):
-                for w, n in held.items():
-                    for p in find(space + w):
-                        out[p] += n
-                held.clear()
-            short = [(p, n) for p, n in out.items() if len(p.encode()) <= LONGEST]
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], names=["k", "n"])
+            out = pa.concat_tables(held).group_by("k").aggregate([("n", "sum")]).rename_columns(["k", "n"]).combine_chunks()
+            return pa.RecordBatch.from_arrays([out.column(c).combine_chunks().cast(t) for c, t in (("k", pa.string()), ("n", pa.int64()))], names=["k", "n"])
 
         for batch in batches:
-            for text in batch.column("text"):
-                first, *more = words(text.as_py() or "")
-                heads[first] += 1
-                rest.update(more)
-                if len(heads) + len(rest) > HELD:
-                    yield close()
-        yield close()
+            _, which, words = pieces(batch.column("text"), pattern)
+            times = np.bincount(which, minlength=len(words))
+            short = np.fromiter((len(w.encode()) <= LONGEST for w in words), bool, len(words))
+            held.append(pa.table({"k": pa.array(words, pa.large_string()), "n": pa.array(times, pa.int64())}).filter(pa.array(short, pa.bool_())))
+            size += len(words)
+            if size > HELD:
+                yield close()
+                held, size = [], 0
+        if held:
+            yield close()
 
     return docs.select("text").transform(map_arrow, run, "k string, n long").groupBy("k").agg(F.sum("n").alias("count"))
 
@@ -260,25 +382,34 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     data = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = held_words(token, data.value, pattern)
-        for batch in steps(batches):
-            found = [ids(text.as_py() or "") for text in batch.column("text")]
-            at = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
+        encoder = held_encoder(token, data.value, pattern)
+        for batch in batches:
+            ids, before = encoder(batch.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ids.view("<i4")))
+            yield from steps(pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"]))
 
     return rows.transform(map_arrow, run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, the concatenated byte strings of the ids as decoded, and the ids as little-endian 32-bit integers as packed. Null ids are none."""
-    strings = [b for b, _ in sorted(ranks(path).items(), key=lambda x: x[1])]
+    known = ranks(path)
+    size = max(known.values()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            lists = [np.array(x.values, "<u4") if x.is_valid else np.empty(0, "<u4") for x in batch.column("ids")]
-            joined = [b"".join(map(strings.__getitem__, x.tolist())) for x in lists]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(joined, pa.binary()), pa.array([x.tobytes() for x in lists], pa.binary())], names=["doc_id", "ids", "decoded", "packed"])
+        strings: list[bytes | None] = [None] * size
+        for b, i in known.items():
+            strings[i] = b
+        every = pa.array(strings, pa.large_binary())
+        for batch in batches:
+            lists = batch.column("ids").fill_null([])
+            ids, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+            at = at - at[0]
+            parts = every.take(ids)  # the byte strings one after the other in one buffer
+            ends = np.frombuffer(parts.buffers()[1], dtype=np.int64, count=len(parts) + 1)
+            whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends[at]), parts.buffers()[2]])
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(4 * at), pa.py_buffer(ids.to_numpy().astype("<u4"))])
+            yield from steps(pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, whole.cast(pa.binary()), packed.cast(pa.binary())], names=["doc_id", "ids", "decoded", "packed"]))
 
     return encoded.select("doc_id", "ids").transform(map_arrow, run, "doc_id long, ids array<int>, decoded binary, packed binary")
 

@@ -192,6 +192,21 @@ def test_token_files(spark, odd):
         at += n
 
 
+def test_token_words_beyond_the_memo(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "MEMO", 50)
+    t, words = Tokenizer.from_file(queries.WORD_BPE), token_files.Words(queries.WORD_BPE)
+    rnd = random.Random(5)
+    signs = ["the", "An", "É", "e\u0301", "J\u030c", ".", ",", "***", "'s", "9", "<|endoftext|>", "<|EndOfText|>", "\x01", "\n", "\t", "\xa0", "\u0915\u093c", "\u1e9e"]
+    for _ in range(300):
+        texts = [" ".join("".join(rnd.choice(signs[:-6] if k % 2 else signs) for _ in range(rnd.randint(0, 4))) for _ in range(rnd.randint(0, 9))) for k in range(rnd.randint(1, 5))] + [None]
+        ids, start = words(pa.array(texts, pa.string()))
+        for i, x in enumerate(texts):
+            assert ids[start[i] : start[i + 1]].tolist() == t.encode(x or "", add_special_tokens=False).ids, x
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_plane_round_trip(bits):
     ids = np.random.default_rng(2).integers(0, 2**32, 1001, dtype=np.uint32)
@@ -252,18 +267,25 @@ def test_byte_bpe(spark, odd, ready, monkeypatch):
     assert got == sorted(want)
 
 
-def test_byte_bpe_merges_and_words():
+def test_byte_bpe_pieces_and_merges():
+    import pyarrow as pa
     import tiktoken
 
     known = byte_bpe.ranks(queries.BYTE_BPE)
     t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=known, special_tokens={})
-    rnd, find = random.Random(7), byte_bpe.matcher(P.PATTERN)
+    rnd, find, merges = random.Random(7), byte_bpe.matcher(P.PATTERN), byte_bpe.Merges(known)
+    assert P.PATTERN == byte_bpe.RUNS
+    signs = ["th", "e", "ing", "S", "ß", "日", "'s", "'", "'ll", "'re", "'l", "l", "9", "½", "-", " ", "  ", "\n", "\x1c", "\xa0", "\t", "\u3000", "\U0001f600", "e\u0301"]
     for _ in range(2000):
-        x = "".join(rnd.choice(["th", "e", "an", "ing", "a", "ß", "日", "'s", "9", "-", " ", "  ", "\n", "\x1c", "\xa0", "\t"]) for _ in range(rnd.randint(0, 40)))
-        first, *rest = byte_bpe.words(x)
-        pieces = find(first) + [p for w in rest for p in find(" " + w)]
-        assert pieces == find(x)
-        assert b"".join(byte_bpe.merge(p.encode(), known) for p in pieces) == np.array(t.encode_ordinary(x), "<u4").tobytes()
+        texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 15))) for _ in range(rnd.randint(1, 4))]
+        start, which, words = byte_bpe.pieces(pa.array(texts), P.PATTERN)
+        each = merges(words)
+        for i, x in enumerate(texts):
+            at = which[start[i] : start[i + 1]]
+            assert [words[k] for k in at] == find(x)
+            assert b"".join(each[k] for k in at) == np.array(t.encode_ordinary(x), "<u4").tobytes()
+    long = ["ab" * 200, "=" * 500, "é" * 40]
+    assert merges(long) == [byte_bpe.merge(x.encode(), known) for x in long]
 
 
 def kneser_ney(texts):
