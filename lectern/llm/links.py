@@ -1,9 +1,11 @@
 """Connected classes of similar items, without ever forming all pairs of a group.
 
-Items that may be similar share buckets. Each bucket's members are first held
-against one pivot; classes grow from the links found. Only pairs of one bucket
-that are still in different classes are then compared with each other, so no link
-between classes is lost, and links inside a class are not needed.
+Items that may be similar share buckets. Each bucket's members are first held against a pivot,
+the member that shares most with others, so that one round joins nearly all of a dense group;
+then those still outside against a pivot of their own, as long as a round adds links. Only pairs
+of one bucket that are still in different classes are then compared with each other, each pair
+in one of the buckets it shares, so no link between classes is lost; links inside a class are
+not needed. Hubs are read in parts: no task gets all that meets one item.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import table
 
+#: Members of a bucket that meet its pivot in one task, parts in which a hub is read, and rounds of pivots at most; they change the work's order only.
+PART, WAYS, ROUNDS = 1024, 32, 4
+
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """edges (a, b) -> (id, label): the smallest id reachable from each id that occurs in an edge.
@@ -34,6 +39,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         label = new.select("id", "label")
 
 
+def fetch(pairs: DataFrame, side: str, other: str, values: DataFrame) -> DataFrame:
+    """pairs with the values (side, ...) of one side; an item of many pairs is read in up to WAYS parts, by the other side's hash."""
+    part = pairs.withColumn("part", F.pmod(F.xxhash64(other), F.lit(WAYS)))
+    wanted = part.select(side, "part").distinct().join(values, side)
+    return part.join(wanted, [side, "part"]).drop("part")
+
+
 def closure(nodes: DataFrame, buckets: DataFrame, near: Callable, verify: Callable[[DataFrame], DataFrame], name: str, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, label) of all items that have a link; an item's label is the smallest id of its class.
 
@@ -43,48 +55,55 @@ def closure(nodes: DataFrame, buckets: DataFrame, near: Callable, verify: Callab
     verify: (a, b) pairs -> those that are links, as (a, b).
     finer: (id) -> (id, ...) more columns for near(), worth their cost only where whole classes meet.
     """
-    size = buckets.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
-    shared = table(buckets.join(size.select("key", "pivot"), "key").select("key", "pivot", "id").distinct(), name)
-    cols = [c for c in nodes.columns if c != "id"]
-    full = F.struct("id", *cols)
-    active = table(nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", full.alias("n")), name)
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        a, b = active.select(F.col("id").alias("a"), F.col("n").alias("na")), active.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-        return pairs.join(a, "a").join(b, "b").where(near(F.col("na"), F.col("nb"), False)).select("a", "b")
-
-    def grown(pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        found = table(verify(table(likely(pairs), name)).select("a", "b").distinct(), name)
+    size = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = table(buckets.join(size, "key").select("key", "id", "size"), name)
+    full = F.struct("id", *[c for c in nodes.columns if c != "id"])
+    weight = shared.groupBy("id").agg(F.sum("size").alias("weight"), F.array_sort(F.collect_set("key")).alias("keys"))
+    active = table(nodes.join(weight, "id").select("id", "weight", "keys", full.alias("n")), name)
+    shared = table(shared.join(active.select("id", "weight", F.col("n").alias("na")), "id"), name)
+
+    def against(rows: DataFrame) -> DataFrame:
+        """Candidate pairs of each row (key, id, size, weight, na, own label) with its bucket's pivot, the row of the greatest weight, if the labels differ."""
+        best = F.max_by(F.struct("id", "label", F.col("na").alias("nb")), F.struct("weight", F.xxhash64("id"), "id"))
+        pivot = rows.where("eligible").groupBy("key").agg(best.alias("p"), F.max("size").alias("size"))
+        parts = F.ceil(F.col("size") / PART)
+        pivot = pivot.select("key", "p", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+        met = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts)).join(pivot, ["key", "part"])
+        return met.where((F.col("label") != F.col("p.label")) & near(F.col("na"), F.col("p.nb"), False)).select(F.col("id").alias("a"), F.col("p.id").alias("b")).distinct()
+
+    def grown(pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame, bool]:
+        found = table(verify(table(pairs, name)).select("a", "b").distinct(), name)
+        if links is not None and found.isEmpty():
+            return links, label, False
         links = found if links is None else links.unionByName(found)
-        return links, components(links, name)
+        return links, components(links, name), True
 
-    first = shared.where("id <> pivot").groupBy("id").agg(F.min("pivot").alias("b")).select(F.col("id").alias("a"), "b")
-    links, label = grown(first, None)
-    for step in ("representatives", "rest"):
-        named = shared.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    links, label, more = grown(against(shared.withColumn("label", F.col("id")).withColumn("eligible", F.lit(True))), None)
+    named = shared
+    for step in range(ROUNDS):
+        named = named.drop("label", "main", "eligible").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
         mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        named = table(named.join(mixed, "key"), name)
+        named = named.join(mixed.select("key"), "key", "left_semi")
+        count = named.groupBy("key", "label").count()
+        main = count.groupBy("key").agg(F.max(F.struct("count", "label"))["label"].alias("main"))
+        named = table(named.join(main, "key"), name)
         if named.isEmpty():
+            return label
+        if not more or step + 1 == ROUNDS:
             break
-        if step == "representatives":
-            # One item stands for each class in a bucket, against the one of the first class.
-            one = named.groupBy("key", "label", "lo").agg(F.min("id").alias("a"))
-            first = named.where("label = lo").groupBy("key").agg(F.min("id").alias("b"))
-            pairs = one.where("label <> lo").join(first, "key").select("a", "b").distinct()
-        else:
-            # All pairs across classes: what lies outside the bucket's largest class, against the bucket.
-            count = named.groupBy("key", "label").count()
-            main = count.groupBy("key").agg(F.max(F.struct("count", "label"))["label"].alias("main"))
-            named = named.join(main, "key")
-            few = named.where("label <> main").select("key", F.col("id").alias("a"), F.col("label").alias("la"))
-            many = named.select("key", F.col("id").alias("b"), F.col("label").alias("lb"), "main")
-            known = active
-            if finer:
-                more = table(finer(named.select("id").distinct()), name)
-                full = F.struct("n.*", *[c for c in more.columns if c != "id"])
-                known = table(active.join(more, "id").select("id", full.alias("n")), name)
-            a, b = known.select(F.col("id").alias("a"), F.col("n").alias("na")), known.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-            ok = (F.col("l.key") == F.col("r.key")) & (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & near(F.col("na"), F.col("nb"), finer is not None)
-            pairs = few.join(a, "a").alias("l").join(many.join(b, "b").alias("r"), ok).select("a", "b").distinct()
-        links, label = grown(pairs, links)
-    return label
+        links, label, more = grown(against(named.withColumn("eligible", F.col("label") != F.col("main"))), links)
+
+    # All pairs across classes: what lies outside a bucket's largest class against the bucket, in the first bucket that a pair shares.
+    known = active.join(named.select("id").distinct(), "id", "left_semi")
+    if finer:
+        extra = table(finer(known.select("id")), name)
+        full = F.struct("n.*", *[c for c in extra.columns if c != "id"])
+        known = known.join(extra, "id").select("id", "keys", full.alias("n"))
+    known = table(known.select("id", "keys", "n"), name)
+    each = named.select("key", "id", "label", "main").join(known, "id")
+    few = each.where("label <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "label", "keys", "n")])
+    many = each.select("key", "main", *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "keys", "n")])
+    new = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("id_a") < F.col("id_b")))
+    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("l.key")
+    ok = (F.col("l.key") == F.col("r.key")) & new & near(F.col("n_a"), F.col("n_b"), finer is not None) & once
+    return grown(few.alias("l").join(many.alias("r"), ok).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), links)[1]

@@ -32,6 +32,10 @@ EDGE = ".,;:!?'\"“”„«»‹›()[]{}*%$#&|<>-_"
 NAMES = ["direct", "quoted", "direct_misspelled", "quoted_misspelled", "density"]
 
 
+#: Words found clean that a task remembers, and states of the automaton it makes before it begins anew; these bound its memory only.
+CLEAN, STATES = 100_000, 50_000
+
+
 class Automaton:
     """Trie of terms x Levenshtein automata of distance one, made deterministic state by state.
 
@@ -52,6 +56,10 @@ class Automaton:
                 at = self.next[at][c]
             w, b, f = self.end[at]
             self.end[at] = (w or term == word, b or term != word, f or len(word) >= FUZZY + (term != word))
+        self.reset()
+
+    def reset(self) -> None:
+        """Forgets all states made so far."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.step: list[dict[str, int]] = []
@@ -133,8 +141,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_copies(sample: DataFrame) -> DataFrame:
     """Near copies are no further evidence for their words: one row stays of those that share one of four minima over their 5-word shingles."""
     out = sample.select("doc_id", "text", "toxic").transform(map_arrow, _keys, "doc_id long, text string, toxic int, k0 long, k1 long, k2 long, k3 long")
-    for i in range(4):
-        out = out.dropDuplicates([f"k{i}"])
+    for i in range(4):  # the row of the smallest id, and of its smallest text, stays
+        out = out.groupBy(f"k{i}").agg(F.min_by(F.struct(*out.columns), F.struct("doc_id", "text", "toxic")).alias("r")).select("r.*")
     return out.select("doc_id", "text", "toxic")
 
 
@@ -178,8 +186,10 @@ class Scorer:
                 self.clean.add(w)
             else:
                 hits[w] = errors
-        if len(self.clean) > 400_000:
+        if len(self.clean) > CLEAN:
             self.clean = set()
+        if len(self.automaton.sets) > STATES:
+            self.automaton.reset()
         n = [0, 0, 0, 0]
         if hits:
             for i, w in enumerate(words):
@@ -201,12 +211,13 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> n
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row of docs (doc_id, text).
+def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row of docs (doc_id, text), behind the columns named in keep, if any: those of docs as they are.
 
     labels (doc_id, toxic) are learned from where crc32 of the doc_id's digits modulo 5 is not 0, at
     most about TRAIN_ROWS of them. Null and empty texts have the score of a text without hits. Without
-    labels of both kinds the score is 0. Rows that repeat an id are scored each; no rows give no rows.
+    labels of both kinds the score is 0. Rows that repeat an id are scored each; a row without an id is
+    held out by the hash of the text None; no rows give no rows; columns not in keep are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -234,6 +245,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             if weights is not None:
                 x = np.array([scorer.features(t or "") for t in batch.column("text").to_pylist()]).reshape(len(ids), len(NAMES))
                 p = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([held_out(d) for d in ids], pa.bool_()), pa.array(p, pa.float64()), pa.array([int(v >= 0.5) for v in p], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
-
-    return rows.transform(map_arrow, score, "doc_id long, held_out boolean, score double, predicted int")
+            found = [pa.array([held_out(d) for d in ids], pa.bool_()), pa.array(p, pa.float64()), pa.array([int(v >= 0.5) for v in p], pa.int32())]
+            mine = [batch.column("doc_id")] if keep is None else batch.columns
+            yield pa.RecordBatch.from_arrays([*mine, *found], names=["doc_id", *names[1:], "held_out", "score", "predicted"])
+
+    if keep is None:
+        names = ["doc_id"]
+        return rows.transform(map_arrow, score, "doc_id long, held_out boolean, score double, predicted int")
+    names = ["doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")]]
+    kinds = dict(docs.dtypes) | {"doc_id": "bigint", "text": "string"}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", held_out boolean, score double, predicted int"
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *names[2:])
+    return whole.transform(map_arrow, score, schema)
