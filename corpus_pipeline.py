@@ -22,9 +22,8 @@ def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; a doc_id goes with any of its rows."""
-    bad = toxicity(docs, read(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(*COLUMNS)
+    """Documents that the toxicity model rejects go, each row by its own text; null and empty texts stay."""
+    return toxicity(docs, read(spark, sf_dir, "labels"), keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,18 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import map_arrow, mix64, powers, table
-from lectern.llm.links import closure
+from lectern.llm.links import closure, fetch
 
 #: Edit distance of near lines, and the least length of a line that is compared at all.
 DISTANCE, LEAST = 1, 20
 #: Edit distance of near lines by the shorter one's least length: none below 20 characters, so that such lines are linked only where equal.
 BANDS = ((0, 0), (20, 1), (128, 2), (512, 3))
 SKETCH = 128
-_LINES = "doc_id long, line_no int, n int, digest binary, keys array<long>, sketch array<long>"
+_LINES = "no_id boolean, doc_id long, row long, line_no int, n int, digest binary, keys array<long>, sketch array<long>"
+#: A row without a doc_id comes last; rows of one doc_id are told apart by a hash of their texts.
+_ROW = ("no_id", "doc_id", "row")
 
 
 def allowed(length: int, t: int | tuple) -> int:
@@ -71,7 +73,7 @@ def edits(batches: Iterator[pa.RecordBatch], t: int | tuple, least: int) -> Iter
     plans: dict[int, tuple] = {}
     longs = pa.list_(pa.int64())
     for batch in batches:
-        rows: list[tuple[int, int, str]] = []
+        rows: list[tuple[tuple, int, str]] = []
         size = 0
 
         def close() -> pa.RecordBatch:
@@ -102,17 +104,17 @@ def edits(batches: Iterator[pa.RecordBatch], t: int | tuple, least: int) -> Iter
             sketch = np.packbits(bits.reshape(-1, 8), axis=1, bitorder="little").reshape(-1).view(np.int64)
             digest = [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in lines]
             out = pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(n, pa.int32()), pa.array(digest, pa.binary()),
+                *(pa.array([r[0][k] for r in rows], t) for k, t in enumerate((pa.bool_(), pa.int64(), pa.int64()))), pa.array([r[1] for r in rows], pa.int32()), pa.array(n, pa.int32()), pa.array(digest, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(keys)).cast(longs),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(lines) + 1, 2), pa.int32()), pa.array(sketch)).cast(longs),
-            ], names=["doc_id", "line_no", "n", "digest", "keys", "sketch"])
+            ], names=[*_ROW, "line_no", "n", "digest", "keys", "sketch"])
             rows, size = [], 0
             return out
 
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+        for *row, text in zip(*(batch.column(c).to_pylist() for c in _ROW), batch.column("text"), strict=True):
             for i, x in enumerate(split(text.as_py() or "")):
                 if len(x) >= least:
-                    rows.append((doc, i, x))
+                    rows.append((row, i, x))
                     size += len(x)
             if size > 1 << 19:
                 yield close()
@@ -161,31 +163,38 @@ def within(a: list[str], b: list[str], t: int) -> np.ndarray:
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, lines, texts = [], [], []
-        for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("lines").to_pylist(), strict=True):
+        out = []
+        for *row, text, wanted in zip(*(batch.column(c).to_pylist() for c in _ROW), batch.column("text"), batch.column("lines").to_pylist(), strict=True):
             have = split(text.as_py() or "")
-            for i in set(wanted):
-                if i < len(have):
-                    ids.append(doc)
-                    lines.append(i)
-                    texts.append(have[i])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "line_no", "line"])
+            out += [(*row, i, have[i]) for i in set(wanted) if i < len(have)]
+        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[*_ROW, "line_no", "line"])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with what names a row: whether it has no doc_id, the doc_id or 0, and a hash of the text."""
+    doc = F.col("doc_id").cast("long")
+    return docs.select(doc.isNull().alias("no_id"), F.coalesce(doc, F.lit(0)).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row"), F.col("text").cast("string").alias("text"))
 
 
 def line_classes(docs: DataFrame, distance: int | tuple = DISTANCE, least: int = LEAST) -> DataFrame:
-    """doc_id, line_no, class_doc_id, class_line_no and kept of each line of at least `least` characters of docs (doc_id, text).
+    """doc_id, row, line_no, class_doc_id, class_row, class_line_no and kept of each line of at least `least` characters of docs (doc_id, text).
 
     Lines are what newlines separate, without white space at either end, numbered from 0. Equal
     lines and lines within `distance` edits are linked; bands (least length, distance), such as BANDS,
     set the distance by the shorter line's length. A class is named by its first place, by
-    doc_id and then line_no, and only the line there is kept. Shorter lines, null and empty texts give
-    no rows (with `least` 0, empty lines do), nor does a row without doc_id. Rows that repeat a doc_id share its lines' places.
+    doc_id, row and then line_no, and only the line there is kept; row is a hash of the whole text, so
+    that rows of one doc_id stay apart. Rows without a doc_id come last. Rows equal in doc_id and text
+    have the same places. Shorter lines, null and empty texts give no rows (with `least` 0, empty
+    lines do); no documents give no rows; other columns are not read.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = keyed(docs)
     lines = table(rows.transform(map_arrow, lambda it: edits(it, distance, least), _LINES), "lines")
-    place = F.struct("doc_id", "line_no")
-    firsts = lines.groupBy("digest").agg(F.min(place).alias("first"))
-    nodes = table(lines.join(firsts, "digest").where(place == F.col("first")).dropDuplicates(["digest"]).select(F.col("first").alias("id"), "n", "sketch", "keys"), "lines")
+    place = F.struct(*_ROW, "line_no")
+    # Equal lines meet within each task first: their first place, with what that line brings.
+    firsts = lines.groupBy("digest").agg(F.min(F.struct(*_ROW, "line_no", "n", "sketch", "keys")).alias("f"))
+    firsts = table(firsts.select("digest", F.struct(*[F.col(f"f.{c}").alias(c) for c in (*_ROW, "line_no")]).alias("id"), "f.n", "f.sketch", "f.keys"), "lines")
+    nodes = firsts.drop("digest")
     buckets = nodes.select(F.explode("keys").alias("key"), "id")
 
     def near(a: Column, b: Column, fine: bool) -> Column:
@@ -201,8 +210,9 @@ def line_classes(docs: DataFrame, distance: int | tuple = DISTANCE, least: int =
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        asked = wanted.groupBy(F.col("id.doc_id").alias("doc_id")).agg(F.collect_set("id.line_no").alias("lines"))
-        texts = table(rows.join(asked, "doc_id").select("doc_id", "text", "lines").transform(map_arrow, _pick, "doc_id long, line_no int, line string"), "lines")
+        asked = wanted.groupBy(*[F.col(f"id.{c}").alias(c) for c in _ROW]).agg(F.collect_set("id.line_no").alias("lines"))
+        texts = rows.join(asked, list(_ROW)).select(*_ROW, "text", "lines").transform(map_arrow, _pick, "no_id boolean, doc_id long, row long, line_no int, line string")
+        texts = table(texts.dropDuplicates([*_ROW, "line_no"]), "lines")
         a, b = texts.select(place.alias("a"), F.col("line").alias("ta")), texts.select(place.alias("b"), F.col("line").alias("tb"))
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,33 +225,43 @@ def line_classes(docs: DataFrame, distance: int | tuple = DISTANCE, least: int =
                     keep[at] = within([ta[i] for i in at], [tb[i] for i in at], d)
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").transform(map_arrow, check, pairs.select("a", "b").schema)
+        return fetch(fetch(pairs, "a", "b", a), "b", "a", b).select("a", "b", "ta", "tb").transform(map_arrow, check, pairs.select("a", "b").schema)
 
-    label = closure(nodes.select("id", "n", "sketch"), buckets, near, verify, "lines").select(F.col("id").alias("first"), "label")
-    named = lines.select("doc_id", "line_no", "digest").join(firsts, "digest").join(label, "first", "left").withColumn("label", F.coalesce("label", "first"))
-    return named.select("doc_id", "line_no", F.col("label.doc_id").alias("class_doc_id"), F.col("label.line_no").alias("class_line_no"), (place == F.col("label")).alias("kept"))
+    label = closure(nodes.select("id", "n", "sketch"), buckets, near, verify, "lines").select("id", "label")
+    named = firsts.select("digest", "id").join(label, "id", "left").select("digest", F.coalesce("label", "id").alias("label"))
+    out = lines.select(*_ROW, "line_no", "digest").join(named, "digest").withColumn("kept", place == F.col("label"))
+    return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "row", "line_no", F.when(~F.col("label.no_id"), F.col("label.doc_id")).alias("class_doc_id"), F.col("label.row").alias("class_row"), F.col("label.line_no").alias("class_line_no"), "kept")
 
 
 def _without(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Batches whose last column names the lines to leave out; it says then whether nothing is left."""
     for batch in batches:
-        out = []
+        out, empty = [], []
         for text, drop in zip(batch.column(at), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-            gone = set(drop or ())
-            kept = text.as_py()
+            kept, gone = text.as_py(), set(drop or ())
             if gone:
                 kept = "\n".join(x for i, x in enumerate(kept.split("\n")) if i not in gone)
-                kept = kept if kept.strip() else None
+            empty.append(bool(gone) and not kept.strip())
             out.append(kept)
-        text = pa.array(out, pa.string())
-        empty = pa.array([bool(d) and t is None for d, t in zip(batch.column(batch.num_columns - 1).to_pylist(), out, strict=True)], pa.bool_())
-        cols = [text if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*cols, empty], names=[*batch.schema.names[:-1], batch.schema.names[-1]])
+        cols = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(empty, pa.bool_())], names=batch.schema.names)
 
 
 def drop_repeated_lines(docs: DataFrame, distance: int | tuple = DISTANCE, least: int = LEAST) -> DataFrame:
-    """docs without the lines that line_classes() doesn't keep, and without documents of which nothing is left. Other columns stay as they are."""
-    gone = line_classes(docs, distance, least).where("not kept").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
-    both = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").select(*docs.columns, "__gone")
+    """docs without the lines that line_classes() doesn't keep, and without documents of which nothing is left.
+
+    Of rows equal in doc_id and text (null, empty and blank texts too) one stays. Other columns, whatever
+    their names, stay as they are; no documents give none.
+    """
+    gone = line_classes(docs, distance, least).where("not kept").groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("lines"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("text")
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", `__gone` boolean"
-    return both.transform(map_arrow, lambda it: _without(it, at), schema).where("not __gone").drop("__gone")
+    mine = docs.toDF(*names)
+    doc = F.col(names[docs.columns.index("doc_id")]).cast("long")
+    mine = mine.withColumn("no_id", doc.isNull()).withColumn("id", F.coalesce(doc, F.lit(0))).withColumn("row", F.xxhash64(F.col(names[at]).cast("string")))
+    gone = gone.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "row", "lines")
+    both = mine.join(gone, ["no_id", "id", "row"], "left")
+    first = F.row_number().over(Window.partitionBy("no_id", "id", "row").orderBy(F.xxhash64(*names)))
+    both = both.withColumn("first", first).where("first = 1").select(*names, "lines")
+    schema = ", ".join(f"`{c}` {t}" for c, (_, t) in zip(names, docs.dtypes, strict=True)) + ", lines boolean"
+    return both.transform(map_arrow, lambda it: _without(it, at), schema).where("not lines").select(*names).toDF(*docs.columns)
