@@ -27,8 +27,8 @@ from lectern.llm.common import Memo, gathered, joined, map_arrow, table
 SLOTS, READY, LONGEST = 1 << 15, 1 << 17, 64
 #: Pieces a Python worker counts before it passes them on, and pieces it remembers in each of two halves; these bound its memory only.
 HELD, MEMO = 200_000, 100_000
-#: Rows a map task hands back at a time.
-STEP = 256
+#: Rows a map task hands back at a time, and bytes of whole texts it cuts at a time.
+STEP, SPAN = 256, 1 << 19
 NONE, ROOM = 2**31 - 1, 1 << 30
 #: Stands at both ends of the parts; no piece in ISO-8859-1 has it.
 MARK = "\u0100"
@@ -172,7 +172,8 @@ def pieces(texts: pa.Array, pattern: str) -> tuple[np.ndarray, np.ndarray, list[
     """Where each text's matches of the pattern begin and the last one's end, which of the distinct matches each is, and those."""
     if pattern == RUNS:
         b, edge = joined(texts)
-        at = cuts(b, edge)
+        part = np.unique(np.r_[edge[np.searchsorted(edge, np.arange(0, len(b), SPAN))], len(b)])
+        at = np.concatenate([np.empty(0, np.int64), *(s + cuts(b[s:e], edge[np.searchsorted(edge, s) : np.searchsorted(edge, e, "right")] - s) for s, e in zip(part[:-1].tolist(), part[1:].tolist(), strict=True))])
         every = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.r_[at, len(b)].astype(np.int64)), pa.py_buffer(b))
         start = np.searchsorted(at, edge)
     else:
@@ -328,6 +329,7 @@ def counts(docs: DataFrame, pattern: str) -> DataFrame:
     """k and count of each distinct piece of up to LONGEST bytes in docs' texts; summed within each block of texts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _held.clear()  # what an earlier corpus' encoder left in this worker
         held: list[pa.Table] = []
         size = 0
 

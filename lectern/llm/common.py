@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,22 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
     if conf.get(key, None) == "67108864b":  # as Spark comes
         conf.set(key, str(4 << 20))
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release() -> None:
+    """Gives a Python worker's free memory back to the system: workers live on from task to task and share an executor's room with the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

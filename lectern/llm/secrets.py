@@ -1,8 +1,9 @@
 """Secrets in texts: base patterns, and credential values that are hard to guess.
 
-A value found where a credential stands is cut into the cheapest sequence of common words,
-dates, repeats, keyboard walks and brute-force spans; the sum of the parts' log10 guesses is
-its guess cost. Values above a cost are reported as spans of the kind guess.
+A value found where a credential stands is cut into the cheapest sequence of words, dates,
+repeats, keyboard walks and brute-force spans; the sum of the parts' log10 guesses is its guess
+cost. A word's rank is its place among the words of the most documents of the corpus, behind a
+few that are always tried first. Values above a cost are reported as spans of the kind guess.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_arrow
+from lectern.llm.common import joined, map_arrow, spaced
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -30,59 +32,111 @@ superman secret root test user guest default changeme love hello freedom whateve
 token key api pass example sample demo public private server database cloud access my the your""".split()
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0987654321", "poiuytrewq", "lkjhgfdsa", "mnbvcxz")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+#: The corpus' words that are ranked (of the most documents, ties by the word), and their lengths: at most 20,000 x 24 bytes go to each task.
+RANKED, SHORTEST, LONGEST = 20_000, 3, 24
+#: The longest block whose repeats are seen.
+BLOCK = 512
+_PART = math.log10(2)
 _LEET = str.maketrans("@4301$57!", "aaeoissti")
 _NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 #: A value of that many log10 guesses and more is reported: beyond what an offline word attack tries first.
 STRONG = 8.0
 
 
-def guess_cost(value: str) -> float:
+def ranks(words: list[str]) -> dict[str, int]:
+    """Each word's rank: WORDS first, then words in their order."""
+    out: dict[str, int] = {}
+    for w in [*WORDS, *words]:
+        out.setdefault(w, len(out) + 1)
+    return out
+
+
+class _Starts:
+    """Starts of an open run by the cost before them. A later one that costs no more drops an earlier one; an earlier one that is ahead at some end stays ahead, and drops a later one."""
+
+    def __init__(self):
+        self.held: list[tuple[float, int]] = []
+
+    def add(self, cost: float, at: int) -> None:
+        while self.held and self.held[-1][0] >= cost:
+            self.held.pop()
+        self.held.append((cost, at))
+
+    def least(self, end: int, size: int) -> float:
+        kept, low = [], math.inf
+        for cost, at in self.held:
+            guesses = cost + math.log10((end - at) / size)
+            if guesses < low:
+                kept.append((cost, at))
+                low = guesses
+        self.held = kept
+        return low
+
+
+def guess_cost(value: str, rank: dict[str, int]) -> float:
     """log10 of the guesses that the cheapest segmentation of a value needs; 0 for an empty one.
 
-    best[i] is the least cost of the first i characters. A part costs: a word its rank (doubled when
-    capitals or look-alike digits are undone), a date 36,500 (119 for a year), a repeat of one
-    character or of a block of up to four its block times the count, a keyboard or alphabet walk
-    its start times its length, and anything else 10 per character in brute force. Each further
-    part doubles the guesses. Linear in the value's length.
+    best[j] is the least cost of the first j characters. A part may begin and end anywhere and costs:
+    a word its rank (twice that if capitals are undone, four times if look-alike signs are), a date
+    36,500 (119 for a year), a block of b characters repeated k times 10**b * k, a keyboard or
+    alphabet walk of n characters 40 * n, and anything else 10 a character in brute force. Each
+    further part doubles the guesses.
     """
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
-    part = math.log10(2)
-
-    def reach(i: int, j: int, guesses: float) -> None:
-        best[j] = min(best[j], best[i] + math.log10(guesses) + (part if i else 0.0))
-
-    brute = walk = math.inf  # least cost of an open brute-force span or walk, before its length
-    walk_from = 0
-    for i in range(n):
-        brute = min(brute + 1, best[i] + 1 + (part if i else 0.0))
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            if rank := _RANK.get(low[i:j]):
-                reach(i, j, rank if value[i:j] == low[i:j] else 2 * rank)
-            elif rank := _RANK.get(plain[i:j]):
-                reach(i, j, 4 * rank)
-        if m := DATE.match(value, i):
-            reach(i, m.end(), 119 if m.end() - i == 4 else 36_500)
-            reach(i, i + 4, 119) if value[i : i + 2] in ("19", "20") and value[i : i + 4].isdigit() and len(value[i : i + 4]) == 4 else None
-        for size in range(1, 5):
-            if value[i : i + size] == value[i + size : i + 2 * size] and len(value[i + size : i + 2 * size]) == size and not (i and value[i - 1 : i - 1 + size] == value[i + size - 1 : i + 2 * size - 1]):
-                j = i + size
-                while value[j : j + size] == value[i : i + size]:
-                    j += size
-                    reach(i, j, 10.0**size * ((j - i) // size))
-        if not (i and low[i - 1 : i + 1] in _NEXT):
-            walk_from = i
-            walk = best[i]
-        elif i - walk_from >= 2:
-            best[i + 1] = min(best[i + 1], walk + math.log10(40 * (i + 1 - walk_from)) + (part if walk_from else 0.0))
-        best[i + 1] = min(best[i + 1], brute)
-    return best[n] if n else 0.0
-
-
-def scan(text: str, strong: float = STRONG) -> list[tuple[int, int, str]]:
+    before = lambda i: best[i] + (_PART if i else 0.0)
+    brute, walk, walk_from = math.inf, _Starts(), 0
+    period: dict[int, int] = {}  # of each block size, how many characters up to here equal the one a block before
+    repeats: dict[tuple[int, int], _Starts] = {}  # by block size and place within the block
+    dates: dict[int, list[tuple[int, float]]] = {}
+    back: dict[str, list[int]] = {}  # places of each character
+    for j in range(1, n + 1):
+        c = j - 1  # the character that ends here
+        for m in DATE.finditer(value, c, min(n, c + 10)) if value[c].isdigit() else ():
+            if m.start() == c:
+                dates.setdefault(m.end(), []).append((c, math.log10(119 if m.end() - c == 4 else 36_500)))
+            break
+        if value[c : c + 2] in ("19", "20") and re.fullmatch(r"\d{4}", value[c : c + 4], re.ASCII):
+            dates.setdefault(c + 4, []).append((c, math.log10(119)))
+        brute = min(brute + 1, before(c) + 1)
+        cost = brute
+        for i in range(max(0, j - LONGEST), j - SHORTEST + 1):
+            if r := rank.get(low[i:j]):
+                cost = min(cost, before(i) + math.log10(r if value[i:j] == low[i:j] else 2 * r))
+            if r := rank.get(plain[i:j]):
+                cost = min(cost, before(i) + math.log10(4 * r))
+        for i, guesses in dates.get(j, ()):
+            cost = min(cost, before(i) + guesses)
+        if not (c and low[c - 1 : c + 1] in _NEXT):
+            walk, walk_from = _Starts(), c
+        if j - 3 >= walk_from:
+            walk.add(before(j - 3), j - 3)
+            cost = min(cost, walk.least(j, 1) + math.log10(40))
+        seen = back.setdefault(value[c], [])
+        now: dict[int, int] = {}
+        short = 0  # the shortest block here
+        for at in reversed(seen):
+            b = c - at
+            if b > BLOCK:
+                break
+            now[b] = period.get(b, 0) + 1
+            if now[b] == 1:  # a new run of this block: starts of an older one don't reach it
+                for k in range(b):
+                    repeats.pop((b, k), None)
+            if now[b] >= b:
+                starts = repeats.setdefault((b, j % b), _Starts())
+                starts.add(before(j - 2 * b), j - 2 * b)
+                short = short or b
+                if b == short or b % short or now[short] + short < now[b] + b:  # else the shorter block is cheaper
+                    cost = min(cost, starts.least(j, b) + b)
+        period = now
+        seen.append(c)
+        best[j] = cost
+    return best[n]
+
+
+def scan(text: str, rank: dict[str, int], strong: float = STRONG) -> list[tuple[int, int, str]]:
     """(start, kind's place, kind:start:end) of all spans of a text, in code points."""
     out, values = [], {}
     low = text.lower()
@@ -96,25 +150,47 @@ def scan(text: str, strong: float = STRONG) -> list[tuple[int, int, str]]:
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(k in low for k in ("pwd", "pass", "credential", "key", "secret", "bearer", "://")):
         values |= {m.span(1): m[1] for m in CONTEXT.finditer(text)}
-    out += [(s, 3, e) for (s, e), v in values.items() if guess_cost(v) >= strong]
+    out += [(s, 3, e) for (s, e), v in values.items() if guess_cost(v, rank) >= strong]
     return [(s, k, f"{KINDS[k]}:{s}:{e}") for s, k, e in sorted(set(out))]
 
 
 _FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word and how many of docs' rows have it: lower-case runs of ASCII letters; summed within each block of texts first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letter = np.full(256, 32, dtype=np.uint8)
+        letter[97:123] = np.arange(97, 123)
+        letter[65:91] = np.arange(97, 123)
+        for batch in batches:
+            b, edge = joined(batch.column("text"))
+            start, which, words = spaced(pa.LargeStringArray.from_buffers(len(batch), pa.py_buffer(edge), pa.py_buffer(letter[b])))
+            doc = np.repeat(np.arange(len(batch)), np.diff(start))
+            once = np.unique(which.astype(np.int64) * len(batch) + doc) // max(1, len(batch))
+            n = np.bincount(once, minlength=len(words))
+            some = [i for i, w in enumerate(words) if SHORTEST <= len(w) <= LONGEST]
+            yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in some], pa.string()), pa.array(n[some], pa.int64())], names=["word", "n"])
+
+    return docs.select(F.col("text").cast("string")).transform(map_arrow, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def find_secrets(docs: DataFrame, strong: float = STRONG) -> DataFrame:
     """One row for each row of docs (doc_id, text): counts and a digest of the base spans, and all spans.
 
     Whole texts are scanned; a null or empty text has no spans (digest of the empty string). Rows that
     repeat a doc_id or have none keep their own rows; other columns are not read; no rows give no rows.
     """
+    common = word_counts(docs).orderBy(F.desc("n"), "word").limit(RANKED).collect()  # a documented bound
+    words = [r.word for r in common]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = ranks(words)
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                found = scan(text or "", strong)
+                found = scan(text or "", rank, strong)
                 base = [x for x in found if x[1] < 3]
                 rows.append(([sum(x[1] == k for x in base) for k in range(3)], hashlib.sha256(",".join(x[2] for x in base).encode()).hexdigest(), ",".join(x[2] for x in found)))
             counts = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(3)]
