@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.plans.folders import folder
+
 
 def expectations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """rule, rows, failed, state. As in a check constraint, a null condition is no failure; no rows leave a rule unestablished."""
@@ -32,16 +34,18 @@ def domain_difference(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return a.exceptAll(e).withColumn("side", F.lit("extra")).unionByName(e.exceptAll(a).withColumn("side", F.lit("missing")))
 
 
-def reachable(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
-    """Names that reach one of start over edges (child, parent), start included; cycles end because only new names go on."""
-    seen = start.distinct()
-    new = seen
-    for _ in range(most):
-        new = edges.join(new.withColumnRenamed("name", "parent"), "parent").select(F.col("child").alias("name")).distinct().join(seen, "name", "left_anti").persist()
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Names that reach one of start over edges (child, parent), start included, however far.
+
+    Each round goes on from new names alone, so cycles end; its names are checkpointed, which cuts the lineage.
+    """
+    folder(edges.sparkSession)
+    new = seen = start.distinct().checkpoint()
+    while True:
+        new = edges.join(new.withColumnRenamed("name", "parent"), "parent").select(F.col("child").alias("name")).distinct().join(seen, "name", "left_anti").checkpoint()
         if new.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(new)
-    return seen
 
 
 def permanence(reasons: Column) -> Column:

@@ -56,3 +56,10 @@ def route(docs: DataFrame, routed: tuple[str, ...] = ("en", "es", "fr")) -> Data
     """lang, status, documents: unrouted languages are counted, not dropped."""
     status = F.when(F.col("lang").isin(*routed), "ok").otherwise("blocked_language_unsupported")
     return docs.groupBy("lang", status.alias("status")).agg(F.count("*").alias("documents"))
+
+
+def sentence_blocks(display: DataFrame) -> DataFrame:
+    """clip_id, block, first, words: display tokens in blocks that close behind a sentence's end."""
+    w = Window.partitionBy("clip_id").orderBy("disp_idx")
+    block = F.coalesce(F.sum(F.col("text").rlike("[.!?]$").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return display.withColumn("block", block.cast("long")).groupBy("clip_id", "block").agg(F.min("disp_idx").alias("first"), F.count("*").alias("words"))

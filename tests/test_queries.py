@@ -1,7 +1,7 @@
 import pytest
 
 import oracle
-from lectern import queries as own
+from lectern import registered as own
 
 
 @pytest.fixture(scope="module")

@@ -61,3 +61,29 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q = jobs.chunks(stream, delay="10 minutes").writeStream.outputMode("complete").format("memory").queryName("chunks").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("chunks").collect())) == sorted(map(tuple, jobs.chunks(events).collect()))
+
+
+def test_order_scores_against_loops(spark):
+    import random
+
+    from lectern.operators import layout
+
+    rnd = random.Random(4)
+    pages = {f"p{k}": rnd.sample(range(n), n) for k, n in enumerate([1, 2, 7, 40])}
+    rows = [(p, i, x) for p, v in pages.items() for i, x in enumerate(v)]
+    for r in layout.order_scores(spark.createDataFrame(rows, "page_id string, place int, seq int")).collect():
+        v = pages[r.page_id]
+        best = [1] * len(v)
+        for i in range(len(v)):
+            best[i] = 1 + max((best[j] for j in range(i) if v[j] < v[i]), default=0)
+        inv = sum(v[j] > v[i] for i in range(len(v)) for j in range(i))
+        n = len(v)
+        assert (r.n, r.lis, r.inversions) == (n, max(best), inv)
+        assert abs(r.concordance - (1 - 2 * inv / (n * (n - 1)) if n > 1 else 1)) < 1e-6
+
+
+def test_reachable_far(spark):
+    from lectern.operators import quality
+
+    edges = spark.createDataFrame([(i + 1, i) for i in range(12)] + [(0, 12), (50, 51)], "child long, parent long")
+    assert sorted(r.name for r in quality.reachable(edges, spark.createDataFrame([(0,)], "name long")).collect()) == list(range(13))
