@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,14 +11,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.plans.folders import folder
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; where that is unset (local tests) a new temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The shared folder named in spark.checkpoint.dir; a session on this machine alone that names none gets a new temporary one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or folder(spark)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
