@@ -10,10 +10,12 @@ from pyspark.sql import SparkSession
 def folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, made ready for checkpoint(); a session on this machine alone that names none gets a new one, any other session must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return found or held.get()
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(found)
     return found
