@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from lectern.llm.common import Memo, gathered, joined, map_arrow, table
 #: Slots of the literal array; pieces held ready, and their longest length in bytes, so at most 16 MB are broadcast.
 SLOTS, READY, LONGEST = 1 << 15, 1 << 17, 64
 #: Pieces a Python worker counts before it passes them on, and pieces it remembers in each of two halves; these bound its memory only.
-HELD, MEMO = 200_000, 100_000
+HELD, MEMO = 200_000, 60_000
 #: Rows a map task hands back at a time, and bytes of whole texts it cuts at a time.
 STEP, SPAN = 256, 1 << 19
 NONE, ROOM = 2**31 - 1, 1 << 30
@@ -366,13 +367,9 @@ def folded(counted: DataFrame, path: str) -> DataFrame:
     return common.repartition(64, F.col("k")).select("k", let(known, lambda m: fold(latin(F.col("k")), m)).alias("v"))
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and ids of each row of docs (doc_id, text): for each match of the pattern, its byte-level BPE ids; null texts are empty and have none.
-
-    Rows without or with repeated doc_ids are encoded each; no rows give no rows; other columns are not read.
-    """
-    spark, token = docs.sparkSession, uuid.uuid4().hex
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _encoding(rows: DataFrame, path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What encodes Arrow batches of rows (doc_id, text) as (doc_id, ids), with the folded pieces of all rows at hand."""
+    spark, token = rows.sparkSession, uuid.uuid4().hex
     ready = folded(table(counts(rows, pattern), "pieces"), path).toArrow()  # READY rows at most
     known = ranks(path)
     keys = [*known, *(k.encode() for k in ready.column("k").to_pylist())]
@@ -390,11 +387,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ids.view("<i4")))
             yield from steps(pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"]))
 
-    return rows.transform(map_arrow, run, "doc_id long, ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, the concatenated byte strings of the ids as decoded, and the ids as little-endian 32-bit integers as packed. Null ids are none."""
+def _decoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What adds decoded and packed to Arrow batches of (doc_id, ids)."""
     known = ranks(path)
     size = max(known.values()) + 1
 
@@ -411,11 +408,38 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             ends = np.frombuffer(parts.buffers()[1], dtype=np.int64, count=len(parts) + 1)
             whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends[at]), parts.buffers()[2]])
             packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(4 * at), pa.py_buffer(ids.to_numpy().astype("<u4"))])
-            yield from steps(pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, whole.cast(pa.binary()), packed.cast(pa.binary())], names=["doc_id", "ids", "decoded", "packed"]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, whole.cast(pa.binary()), packed.cast(pa.binary())], names=["doc_id", "ids", "decoded", "packed"])
+
+    return run
+
 
-    return encoded.select("doc_id", "ids").transform(map_arrow, run, "doc_id long, ids array<int>, decoded binary, packed binary")
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id and ids of each row of docs (doc_id, text): for each match of the pattern, its byte-level BPE ids; null texts are empty and have none.
+
+    Rows without or with repeated doc_ids are encoded each; no rows give no rows; other columns are not read.
+    """
+    rows = _rows(docs)
+    return rows.transform(map_arrow, _encoding(rows, path, pattern), "doc_id long, ids array<int>")
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, the concatenated byte strings of the ids as decoded, and the ids as little-endian 32-bit integers as packed. Null ids are none."""
+    return encoded.select("doc_id", "ids").transform(map_arrow, _decoding(path), "doc_id long, ids array<int>, decoded binary, packed binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    out = decode(encode(docs, path, pattern), path)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens and digests of each row's ids and of what they decode to; one worker a task does both."""
+    rows = _rows(docs)
+    there, back = _encoding(rows, path, pattern), _decoding(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in back(there(batches)):
+            size = pc.list_value_length(batch.column("ids")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, batch.column("decoded"), batch.column("packed")], names=["doc_id", "n_tokens", "decoded", "packed"])
+
+    out = rows.transform(map_arrow, run, "doc_id long, n_tokens long, decoded binary, packed binary")
+    return out.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
