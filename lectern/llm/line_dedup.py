@@ -225,7 +225,7 @@ def line_classes(docs: DataFrame, distance: int | tuple = DISTANCE, least: int =
                     keep[at] = within([ta[i] for i in at], [tb[i] for i in at], d)
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return fetch(fetch(pairs, "a", "b", a), "b", "a", b).select("a", "b", "ta", "tb").transform(map_arrow, check, pairs.select("a", "b").schema)
+        return fetch(pairs, a, b).select("a", "b", "ta", "tb").transform(map_arrow, check, pairs.select("a", "b").schema)
 
     label = closure(nodes.select("id", "n", "sketch"), buckets, near, verify, "lines").select("id", "label")
     named = firsts.select("digest", "id").join(label, "id", "left").select("digest", F.coalesce("label", "id").alias("label"))

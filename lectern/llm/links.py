@@ -39,11 +39,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         label = new.select("id", "label")
 
 
-def fetch(pairs: DataFrame, side: str, other: str, values: DataFrame) -> DataFrame:
-    """pairs with the values (side, ...) of one side; an item of many pairs is read in up to WAYS parts, by the other side's hash."""
-    part = pairs.withColumn("part", F.pmod(F.xxhash64(other), F.lit(WAYS)))
-    wanted = part.select(side, "part").distinct().join(values, side)
-    return part.join(wanted, [side, "part"]).drop("part")
+def fetch(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """pairs (a, b) with the values of both sides: left (a, ...) and right (b, ...). An item of many pairs is read in up to WAYS parts, by the other side's hash."""
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(WAYS))
+    parts = pairs.select("a", "b", part("b").alias("part_a"), part("a").alias("part_b"))
+    of = lambda side, values: parts.select(side, f"part_{side}").distinct().join(values, side)
+    return parts.join(of("a", left), ["a", "part_a"]).join(of("b", right), ["b", "part_b"]).drop("part_a", "part_b")
 
 
 def closure(nodes: DataFrame, buckets: DataFrame, near: Callable, verify: Callable[[DataFrame], DataFrame], name: str, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

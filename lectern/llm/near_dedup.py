@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             firsts = nodes.join(wanted, "id", "left_semi").select(F.col("id").alias("doc_id"), "set_key")
             live.append(table(ids.join(firsts.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text", F.xxhash64("text").alias("k")).dropDuplicates(["doc_id", "k"]), "minhash"))
         a, b = live[0].select(F.col("doc_id").alias("a"), F.col("text").alias("ta"), F.col("k").alias("ka")), live[0].select(F.col("doc_id").alias("b"), F.col("text").alias("tb"), F.col("k").alias("kb"))
-        return fetch(fetch(pairs, "a", "b", a), "b", "a", b).select("a", "b", "ta", "tb", "ka", "kb").transform(map_arrow, lambda it: _confirm(it, percent), pairs.select("a", "b").schema)
+        return fetch(pairs, a, b).select("a", "b", "ta", "tb", "ka", "kb").transform(map_arrow, lambda it: _confirm(it, percent), pairs.select("a", "b").schema)
 
     def wider(wanted: DataFrame) -> DataFrame:
         texts = live[0].select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
