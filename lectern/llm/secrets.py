@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import joined, map_arrow, spaced
+from lectern.llm.common import joined, map_arrow, spaced, table
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -176,14 +176,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).transform(map_arrow, run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def common_words(counts: DataFrame) -> list[str]:
+    """The RANKED words of the most documents, ties by the word. Levels of like counts tell first how far down they reach, so that tasks don't each send their own RANKED."""
+    counted, level = table(counts, "words"), F.floor(F.log2("n") * 8)
+    room, least = RANKED, 0
+    for r in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred levels
+        room, least = room - r["count"], r["level"]
+        if room <= 0:
+            break
+    return [r.word for r in counted.where(level >= least).orderBy(F.desc("n"), "word").limit(RANKED).collect()]
+
+
 def find_secrets(docs: DataFrame, strong: float = STRONG) -> DataFrame:
     """One row for each row of docs (doc_id, text): counts and a digest of the base spans, and all spans.
 
     Whole texts are scanned; a null or empty text has no spans (digest of the empty string). Rows that
     repeat a doc_id or have none keep their own rows; other columns are not read; no rows give no rows.
     """
-    common = word_counts(docs).orderBy(F.desc("n"), "word").limit(RANKED).collect()  # a documented bound
-    words = [r.word for r in common]
+    words = common_words(word_counts(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = ranks(words)
