@@ -68,25 +68,39 @@ def character_coverage(display: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def causes(placed: DataFrame, pause_ms: float = 150.0) -> DataFrame:
-    """primary_cause, rows, failing: placements by the first neighbourhood flag that holds, over the bound or not."""
+    """primary_cause, rows, failing, and the share of failing and of passing placements that show the condition, whatever their first cause.
+
+    A placement goes to the first neighbourhood flag that holds; for "none" the shares are those without any.
+    """
     lag, lead = (lambda c: F.lag(c).over(_clip())), (lambda c: F.lead(c).over(_clip()))
     flags = [
         ("sentence_end", lag("text").rlike("[.!?]$") | F.col("text").rlike("[.!?]$")),
         ("skipped_token", (F.col("disp_idx") - lag("disp_idx") > 1) | (lead("disp_idx") - F.col("disp_idx") > 1)),
         ("pause", ((F.col("s") - lag("e")) * 1000 > pause_ms) | ((lead("s") - F.col("e")) * 1000 > pause_ms)),
     ]
-    first = F.coalesce(*[F.when(c, F.lit(n)) for n, c in flags], F.lit("none"))
-    rows = local_drift(placed).withColumn("primary_cause", first).where("drift_ms is not null")
-    return rows.groupBy("primary_cause").agg(F.count("*").alias("rows"), F.count_if(F.col("drift_ms") > BOUND_MS).alias("failing"))
+    names = [n for n, _ in flags] + ["none"]
+    rows = local_drift(placed).withColumns({f"is_{n}": F.coalesce(c, F.lit(False)) for n, c in flags}).where("drift_ms is not null")
+    rows = rows.withColumn("is_none", ~(F.col("is_sentence_end") | F.col("is_skipped_token") | F.col("is_pause"))).withColumn("bad", F.col("drift_ms") > BOUND_MS)
+    rows = rows.withColumn("cause", F.coalesce(*[F.when(F.col(f"is_{n}"), F.lit(n)) for n in names]))
+    one = rows.agg(
+        F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"),
+        F.array(*[F.struct(
+            F.lit(n).alias("primary_cause"), F.count_if(F.col("cause") == n).alias("rows"), F.count_if((F.col("cause") == n) & F.col("bad")).alias("failing"),
+            F.count_if(F.col(f"is_{n}") & F.col("bad")).alias("in_bad"), F.count_if(F.col(f"is_{n}") & ~F.col("bad")).alias("in_good"),
+        ) for n in names]).alias("x"),
+    )
+    pct = lambda k, n: F.when(F.col(n) > 0, F.round(100.0 * F.col(k) / F.col(n), 4)).otherwise(0.0)
+    return one.select("bad", "good", F.explode("x").alias("x")).select("bad", "good", "x.*").where("rows > 0 or in_bad + in_good > 0").select("primary_cause", "rows", "failing", pct("in_bad", "bad").alias("failing_with_pct"), pct("in_good", "good").alias("passing_with_pct"))
 
 
 def thirds(display: DataFrame, placed: DataFrame) -> DataFrame:
-    """clip_id, head, tail, desynced: coverage of the first and last third; a tail under half the head tells a lost track."""
+    """clip_id, head, tail, ratio, last_matched, desynced: coverage of the first and last third, and the last placed token; a tail under half the head tells a lost track."""
     n = display.groupBy("clip_id").agg(F.count("*").alias("n"))
-    both = placed.join(n, "clip_id").withColumn("third", F.greatest(F.floor(F.col("n") / 3), F.lit(1)))
-    agg = both.groupBy("clip_id", "third").agg(F.count_if(F.col("disp_idx") < F.col("third")).alias("h"), F.count_if(F.col("disp_idx") >= F.col("n") - F.col("third")).alias("t"))
+    both = n.withColumn("third", F.greatest(F.floor(F.col("n") / 3), F.lit(1))).join(placed.select("clip_id", "disp_idx"), "clip_id", "left")
+    agg = both.groupBy("clip_id", "third").agg(F.count_if(F.col("disp_idx") < F.col("third")).alias("h"), F.count_if(F.col("disp_idx") >= F.col("n") - F.col("third")).alias("t"), F.max("disp_idx").alias("last_matched"))
     head, tail = F.col("h") / F.col("third"), F.col("t") / F.col("third")
-    return agg.select("clip_id", F.round(head, 6).alias("head"), F.round(tail, 6).alias("tail"), ((F.col("h") > 0) & (tail < 0.5 * head)).alias("desynced"))
+    ratio = F.when(F.col("h") > 0, F.round(F.col("t") / F.col("h"), 6))
+    return agg.select("clip_id", F.round(head, 6).alias("head"), F.round(tail, 6).alias("tail"), ratio.alias("ratio"), "last_matched", ((F.col("h") > 0) & (tail < 0.5 * head)).alias("desynced"))
 
 
 def offset_sweep(placed: DataFrame, step: int = 25, most: int = 250) -> DataFrame:

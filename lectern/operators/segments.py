@@ -2,33 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SENTENCE = r"[^.!?\n]+[.!?\n]*"
-
-
-def sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, ord, sentence: what ends in a full stop, exclamation or question mark or a line's end."""
-    return docs.select("doc_id", "lang", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("ord", "sentence"))
-
-
-def _pack(sizes: Column, target: int) -> Column:
-    """The segment of each size, in order: a new one when the running size would pass the target; a larger sentence stands alone."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("seg"), F.array().cast("array<int>").alias("out"))
-
-    def add(s: Column, n: Column) -> Column:
-        fits = (s["n"] == 0) | (s["n"] + n <= target)
-        seg = F.when(fits, s["seg"]).otherwise(s["seg"] + 1)
-        return F.struct(F.when(fits, s["n"] + n).otherwise(n).alias("n"), seg.alias("seg"), F.concat(s["out"], F.array(seg)).alias("out"))
-
-    return F.aggregate(sizes, start, add, lambda s: s["out"])
-
-
-def segment(docs: DataFrame, target: int = 1000) -> DataFrame:
-    """doc_id, lang, segment_ord, first_ord, last_ord, chars: whole sentences packed up to the target, never across documents."""
-    one = docs.select("doc_id", "lang", F.transform(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda x: F.length(x)).alias("sizes"))
-    rows = one.select("doc_id", "lang", F.posexplode(F.arrays_zip(_pack(F.col("sizes"), target).alias("seg"), F.col("sizes").alias("n"))).alias("ord", "x"))
+#: Characters of a segment at most.
+CAP = 2000
+
+
+def _blocks(cap: int) -> Column:
+    """The sentences of a text in order; one of more than cap characters is cut every cap characters."""
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.length(x) - 1, F.lit(cap)), lambda i: F.substring(x, i + 1, F.lit(cap)))
+    return F.flatten(F.transform(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), cut))
+
+
+def sentences(docs: DataFrame, cap: int = CAP) -> DataFrame:
+    """doc_id, lang, ord, sentence: what ends in a full stop, exclamation or question mark or a line's end, and pieces of at most cap characters of a longer one."""
+    return docs.select("doc_id", "lang", F.posexplode(_blocks(cap)).alias("ord", "sentence"))
+
+
+def _pack(batches: Iterator[pa.RecordBatch], target: int) -> Iterator[pa.RecordBatch]:
+    """The segment of each size, in order: a new one when the running size would pass the target; a larger block stands alone."""
+    for batch in batches:
+        out = []
+        for sizes in batch.column("sizes").to_pylist():
+            seg, run, mine = 0, 0, []
+            for n in sizes or ():
+                if run and run + n > target:
+                    seg, run = seg + 1, 0
+                run += n
+                mine.append(seg)
+            out.append(mine)
+        yield batch.append_column("seg", pa.array(out, pa.list_(pa.int32())))
+
+
+def segment(docs: DataFrame, target: int = 1000, cap: int = CAP) -> DataFrame:
+    """doc_id, lang, segment_ord, first_ord, last_ord, chars: whole sentences packed up to the target, never across documents.
+
+    A sentence over the target stands alone; no segment has more than cap characters (cap >= target),
+    since sentences() cuts what is longer. Null and empty texts have no segments.
+    """
+    one = docs.select("doc_id", "lang", F.transform(_blocks(cap), lambda x: F.length(x)).alias("sizes"))
+    kinds = ", ".join(f"{c} {t}" for c, t in one.dtypes)
+    packed = one.mapInArrow(lambda it: _pack(it, target), f"{kinds}, seg array<int>")
+    rows = packed.select("doc_id", "lang", F.posexplode(F.arrays_zip(F.col("seg"), F.col("sizes").alias("n"))).alias("ord", "x"))
     return rows.groupBy("doc_id", "lang", F.col("x.seg").alias("segment_ord")).agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.sum("x.n").alias("chars"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import mcnemar, overlap_pct, wilson
@@ -22,19 +22,57 @@ def pair_engines(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.withColumn("overlap", overlap_pct(F.col("s"), F.col("e"), F.col("s2"), F.col("e2"))).withColumn("delta_ms", (F.col("s2") - F.col("s")) * 1000)
 
 
-def pair_sheet(pairs: DataFrame, by: str = "lang") -> DataFrame:
-    d = F.round("delta_ms", 6)
-    return pairs.groupBy(by).agg(
-        F.count("*").alias("pairs"), F.round(F.median(F.round("overlap", 6)), 4).alias("median_overlap"), F.round(100.0 * F.count_if(F.round("overlap", 6) >= 50) / F.count("*"), 4).alias("pct_50"),
-        F.round(F.median(d), 4).alias("median_delta_ms"), F.round(F.median(F.abs(d)), 4).alias("median_abs_ms"), F.round(100.0 * F.count_if(F.abs(d) <= 250) / F.count("*"), 4).alias("agree_250_pct"),
+def pair_sheet(pairs: DataFrame, by: str = "lang", worst: int = 3) -> DataFrame:
+    """A row for each value of by: overlap and start difference of its pairs, and the display tokens of the least overlaps.
+
+    Overlaps count to a ten-thousandth of a percent and differences to a microsecond, so that a group of any
+    size has a bounded number of distinct values and its quantiles come from their counts.
+    """
+    both = pairs.withColumn("overlap", F.round("overlap", 4)).withColumn("d", F.round("delta_ms", 3)).withColumn("abs_d", F.abs("d"))
+    sheet = both.groupBy(by).agg(
+        F.count("*").alias("pairs"), F.round(F.median("overlap"), 4).alias("median_overlap"), F.round(100.0 * F.count_if(F.col("overlap") >= 50) / F.count("*"), 4).alias("pct_50"),
+        F.round(F.median("d"), 4).alias("median_delta_ms"), F.round(F.median("abs_d"), 4).alias("median_abs_ms"), F.round(100.0 * F.count_if(F.col("d").between(-250, 250)) / F.count("*"), 4).alias("agree_250_pct"),
     )
+    # The 95th percentile at index floor(0.95 * (n - 1)): the first value with more pairs up to it than that.
+    counts = both.groupBy(by, "abs_d").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy(by).orderBy("abs_d"))
+    total = F.sum("k").over(Window.partitionBy(by))
+    p95 = counts.withColumn("upto", upto).withColumn("n", total).where(F.col("upto") > F.floor(F.lit(0.95) * (F.col("n") - 1))).groupBy(by).agg(F.min("abs_d").alias("p95_abs_ms"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("overlap", "clip_id", "disp_idx"))
+    least = both.withColumn("rank", rank).where(F.col("rank") <= worst).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("w"))
+    return sheet.join(p95, by).join(least.select(by, F.array_join("w", " ").alias("worst_tokens")), by)
+
+
+#: The 97.5 % quantile of Student's t for 2 to 12 degrees of freedom.
+T_975 = (4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139, 2.200985, 2.178813)
+Z_975 = 1.959963984540054
+
+
+def t_critical(df: Column) -> Column:
+    """The 97.5 % quantile of Student's t: listed up to 12 degrees of freedom, beyond by the expansion around the normal quantile in powers of 1 / df."""
+    z = Z_975
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384)
+    far = sum((F.lit(c) / F.pow(df, F.lit(float(i + 1))) for i, c in enumerate(terms)), F.lit(z))
+    return F.when(df <= 12, F.element_at(F.array(*map(F.lit, T_975)), (df - 1).cast("int"))).otherwise(far)
+
+
+def two_sided(z: Column) -> Column:
+    """The chance of a standard normal value at least as far from 0 as z, to 1.5e-7 (a polynomial times exp(-x * x), x = |z| / sqrt(2))."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.3275911) * x)
+    poly = t * (F.lit(0.254829592) + t * (F.lit(-0.284496736) + t * (F.lit(1.421413741) + t * (F.lit(-1.453152027) + t * F.lit(1.061405429)))))
+    return poly * F.exp(-x * x)
 
 
 def slope(pairs: DataFrame, by: str = "clip_id") -> DataFrame:
-    """Least-squares slope of the start difference over time for each clip of four pairs and more, with its standard error."""
+    """Least-squares slope of the start difference over time for each clip of four pairs and more: its standard error and 95 % t interval, Pearson's r (within 0.999999) and the p of its Fisher z."""
     agg = pairs.groupBy(by).agg(F.count("*").alias("n"), F.regr_slope("delta_ms", "s").alias("m"), F.regr_sxx("delta_ms", "s").alias("sxx"), F.regr_syy("delta_ms", "s").alias("syy"), F.regr_sxy("delta_ms", "s").alias("sxy"))
     rest = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
-    return agg.where("n >= 4 and sxx > 0 and syy > 0").select(by, "n", F.round("m", 5).alias("slope"), F.round(F.sqrt(rest / (F.col("n") - 2) / F.col("sxx")), 5).alias("slope_se"))
+    fit = agg.where("n >= 4 and sxx > 0 and syy > 0").withColumn("se", F.sqrt(rest / (F.col("n") - 2) / F.col("sxx")))
+    fit = fit.withColumn("r", F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))))
+    z = F.lit(0.5) * F.log((1 + F.col("r")) / (1 - F.col("r"))) * F.sqrt(F.col("n") - 3)
+    half = t_critical(F.col("n") - 2) * F.col("se")
+    return fit.select(by, "n", F.round("m", 5).alias("slope"), F.round("se", 5).alias("slope_se"), F.round(F.col("m") - half, 4).alias("slope_low"), F.round(F.col("m") + half, 4).alias("slope_high"), F.round("r", 5).alias("r"), F.round(two_sided(z), 5).alias("p"))
 
 
 def calibrate(pairs: DataFrame, shifts: list[int], scales: list[float]) -> DataFrame:

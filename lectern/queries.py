@@ -121,13 +121,25 @@ def w2_monotone(spark, sf):
     return drift.monotone_violations(_placed(spark, sf))
 
 
+@query(", moved AS (SELECT clip_id, disp_idx, cs, CASE WHEN disp_idx % 37 = 5 THEN s - 1.5::DOUBLE ELSE s END AS s FROM placed) SELECT clip_id, disp_idx, cs, before FROM (SELECT *, lag(cs) OVER (PARTITION BY clip_id ORDER BY s, disp_idx) AS before FROM moved) WHERE cs < before", True)
+def w2_planted_order(spark, sf):
+    """Placements out of order in time where one in 37 begins a second and a half too early."""
+    early = F.when(F.col("disp_idx") % 37 == 5, F.col("s") - 1.5).otherwise(F.col("s"))
+    return drift.monotone_violations(_placed(spark, sf).withColumn("s", early))
+
+
 @query(DRIFT + "SELECT lang, rank, clip_id, disp_idx, drift_ms FROM (SELECT lang, clip_id, disp_idx, round(drift_ms, 4) AS drift_ms, (row_number() OVER (PARTITION BY lang ORDER BY round(drift_ms, 4) DESC, clip_id, disp_idx))::INT AS rank FROM w WHERE drift_ms IS NOT NULL) WHERE rank <= 15", True)
 def t1_worst_drifts(spark, sf):
     return drift.worst(_placed(spark, sf))
 
 
 @query(DRIFT + r"""
-SELECT primary_cause, count(*) AS rows, count(*) FILTER (drift_ms > 250) AS failing FROM (SELECT drift_ms, CASE WHEN regexp_matches(t0, '[.!?]$') OR regexp_matches(text, '[.!?]$') THEN 'sentence_end' WHEN disp_idx - i0 > 1 OR i2 - disp_idx > 1 THEN 'skipped_token' WHEN (s - e0) * 1000 > 150 OR (s2 - e) * 1000 > 150 THEN 'pause' ELSE 'none' END AS primary_cause FROM w WHERE drift_ms IS NOT NULL) GROUP BY 1""", True)
+, f AS (SELECT drift_ms > 250 AS bad, coalesce(regexp_matches(t0, '[.!?]$'), false) OR regexp_matches(text, '[.!?]$') AS a, coalesce(disp_idx - i0 > 1 OR i2 - disp_idx > 1, false) AS b, coalesce((s - e0) * 1000 > 150 OR (s2 - e) * 1000 > 150, false) AS c FROM w WHERE drift_ms IS NOT NULL),
+g AS (SELECT *, CASE WHEN a THEN 'sentence_end' WHEN b THEN 'skipped_token' WHEN c THEN 'pause' ELSE 'none' END AS cause FROM f),
+h AS (SELECT bad, cause, unnest(['sentence_end', 'skipped_token', 'pause', 'none']) AS primary_cause, unnest([a, b, c, cause = 'none']) AS has FROM g)
+SELECT primary_cause, count(*) FILTER (cause = primary_cause) AS rows, count(*) FILTER (cause = primary_cause AND bad) AS failing,
+  CASE WHEN count(*) FILTER (bad) > 0 THEN round(100.0::DOUBLE * count(*) FILTER (bad AND has) / count(*) FILTER (bad), 4) ELSE 0 END AS failing_with_pct, CASE WHEN count(*) FILTER (NOT bad) > 0 THEN round(100.0::DOUBLE * count(*) FILTER (NOT bad AND has) / count(*) FILTER (NOT bad), 4) ELSE 0 END AS passing_with_pct
+FROM h GROUP BY 1 HAVING count(*) FILTER (has) > 0""", True)
 def a7_causes(spark, sf):
     return drift.causes(_placed(spark, sf))
 
@@ -151,7 +163,7 @@ def a3_character_coverage(spark, sf):
 
 @query("""
 , n AS (SELECT clip_id, count(*) AS n, greatest(count(*) // 3, 1) AS third FROM disp GROUP BY 1)
-SELECT clip_id, round(h / third, 6) AS head, round(t / third, 6) AS tail, h > 0 AND t / third < 0.5 * h / third AS desynced FROM (SELECT clip_id, third, count(*) FILTER (disp_idx < third) AS h, count(*) FILTER (disp_idx >= n - third) AS t FROM placed JOIN n USING (clip_id) GROUP BY 1, 2)""", True)
+SELECT clip_id, round(h / third, 6) AS head, round(t / third, 6) AS tail, CASE WHEN h > 0 THEN round(t / h, 6) END AS ratio, last_matched, h > 0 AND t / third < 0.5 * h / third AS desynced FROM (SELECT clip_id, third, count(*) FILTER (disp_idx < third) AS h, count(*) FILTER (disp_idx >= n - third) AS t, max(disp_idx) AS last_matched FROM n LEFT JOIN placed USING (clip_id) GROUP BY 1, 2)""", True)
 def a6_thirds(spark, sf):
     d = _display(spark, sf)
     return drift.thirds(d, derived.placements(d, derived.observed_tokens(d)))
@@ -163,12 +175,23 @@ p AS (SELECT *, CASE WHEN greatest(e, e2) - least(s, s2) > 0 THEN greatest(least
 """
 
 
-@query(PAIRS + "SELECT lang, count(*) AS pairs, round(median(round(overlap, 6)), 4) AS median_overlap, round(100.0 * count(*) FILTER (round(overlap, 6) >= 50) / count(*), 4) AS pct_50, round(median(round(delta_ms, 6)), 4) AS median_delta_ms, round(median(abs(round(delta_ms, 6))), 4) AS median_abs_ms, round(100.0 * count(*) FILTER (abs(round(delta_ms, 6)) <= 250) / count(*), 4) AS agree_250_pct FROM p GROUP BY lang", True)
+@query(PAIRS + """
+, q AS (SELECT lang, clip_id, disp_idx, text, round(overlap, 4) AS overlap, round(delta_ms, 3) AS d FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY overlap, clip_id, disp_idx) AS rank FROM q),
+v AS (SELECT lang, v[(floor(0.95 * (len(v) - 1)) + 1)::INT] AS p95_abs_ms FROM (SELECT lang, list_sort(list(abs(d))) AS v FROM q GROUP BY 1))
+SELECT lang, count(*) AS pairs, round(median(overlap), 4) AS median_overlap, round(100.0 * count(*) FILTER (overlap >= 50) / count(*), 4) AS pct_50, round(median(d), 4) AS median_delta_ms, round(median(abs(d)), 4) AS median_abs_ms, round(100.0 * count(*) FILTER (abs(d) <= 250) / count(*), 4) AS agree_250_pct,
+  any_value(p95_abs_ms) AS p95_abs_ms, string_agg(text, ' ' ORDER BY rank) FILTER (rank <= 3) AS worst_tokens FROM r JOIN v USING (lang) GROUP BY lang""", True)
 def a5_pair_sheet(spark, sf):
     return stats.pair_sheet(_pairs(spark, sf))
 
 
-@query(PAIRS + "SELECT clip_id, count(*) AS n, round(regr_slope(delta_ms, s), 5) AS slope, round(sqrt(greatest(regr_syy(delta_ms, s) - regr_sxy(delta_ms, s) * regr_sxy(delta_ms, s) / regr_sxx(delta_ms, s), 0) / (count(*) - 2) / regr_sxx(delta_ms, s)), 5) AS slope_se FROM p GROUP BY clip_id HAVING count(*) >= 4 AND regr_sxx(delta_ms, s) > 0 AND regr_syy(delta_ms, s) > 0", True)
+@query(PAIRS + f"""
+, g AS (SELECT clip_id, count(*) AS n, regr_slope(delta_ms, s) AS m, regr_sxx(delta_ms, s) AS sxx, regr_syy(delta_ms, s) AS syy, regr_sxy(delta_ms, s) AS sxy FROM p GROUP BY 1 HAVING count(*) >= 4 AND regr_sxx(delta_ms, s) > 0 AND regr_syy(delta_ms, s) > 0),
+h AS (SELECT *, sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2) / sxx) AS se, greatest(-0.999999::DOUBLE, least(0.999999::DOUBLE, sxy / sqrt(sxx * syy))) AS r, n - 2 AS df, {stats.Z_975}::DOUBLE AS z FROM g),
+i AS (SELECT *, abs(atanh(r) * sqrt(n - 3)) / sqrt(2.0::DOUBLE) AS x, se * CASE WHEN df <= 12 THEN {list(stats.T_975)}[df - 1] ELSE z + (z ** 3 + z) / 4 / df + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96 / df ** 2 + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384 / df ** 3 END AS half FROM h),
+j AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * x) AS t FROM i)
+SELECT clip_id, n, round(m, 5) AS slope, round(se, 5) AS slope_se, round(m - half, 4) AS slope_low, round(m + half, 4) AS slope_high, round(r, 5) AS r,
+  round(t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-x * x), 5) AS p FROM j""", True)
 def a16_drift_slope(spark, sf):
     return stats.slope(_pairs(spark, sf))
 
@@ -224,7 +247,16 @@ def _segments(spark, sf):
     return segments.segment(read(spark, sf, "documents"))
 
 
-@query()
+SEGMENTS = r"""
+WITH RECURSIVE t AS (SELECT doc_id, lang, regexp_extract_all(text, '[^.!?\n]+[.!?\n]*') AS x FROM documents),
+k AS (SELECT doc_id, lang, flatten(list_transform(x, lambda y: list_transform(range(0, length(y), 2000), lambda i: least(2000, length(y) - i)))) AS sizes FROM t),
+b AS (SELECT doc_id, lang, unnest(range(0, len(sizes)))::INT AS ord, unnest(sizes) AS n FROM k),
+r AS (SELECT doc_id, lang, ord, n, n AS run, 0 AS segment_ord FROM b WHERE ord = 0 UNION ALL
+  SELECT b.doc_id, b.lang, b.ord, b.n, CASE WHEN r.run + b.n > 1000 THEN b.n ELSE r.run + b.n END, CASE WHEN r.run + b.n > 1000 THEN r.segment_ord + 1 ELSE r.segment_ord END FROM r JOIN b ON b.doc_id = r.doc_id AND b.ord = r.ord + 1)
+"""
+
+
+@query(SEGMENTS + "SELECT doc_id, lang, segment_ord, min(ord) AS first_ord, max(ord) AS last_ord, sum(n)::BIGINT AS chars FROM r GROUP BY 1, 2, 3")
 def d1_segments(spark, sf):
     return _segments(spark, sf)
 

@@ -185,13 +185,16 @@ def w8_sentence_blocks(spark, sf):
     return segments.sentence_blocks(_display(spark, sf))
 
 
-@query("WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\\n]+[.!?\\n]*')) AS sentence, unnest(range(0, len(regexp_extract_all(text, '[^.!?\\n]+[.!?\\n]*'))))::INT AS ord FROM documents) SELECT doc_id, ord // 5 AS segment_ord, ord, coalesce(sum(length(sentence)) OVER (PARTITION BY doc_id, ord // 5 ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM x")
+BLOCKS = "WITH y AS (SELECT doc_id, flatten(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?\\n]*'), lambda y: list_transform(range(0, length(y), 2000), lambda i: substr(y, i + 1, 2000)))) AS s FROM documents), x AS (SELECT doc_id, unnest(s) AS sentence, unnest(range(0, len(s)))::INT AS ord FROM y) "
+
+
+@query(BLOCKS + "SELECT doc_id, ord // 5 AS segment_ord, ord, coalesce(sum(length(sentence)) OVER (PARTITION BY doc_id, ord // 5 ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM x")
 def d3_block_offsets(spark, sf):
     blocks = segments.sentences(read(spark, sf, "documents")).withColumn("segment_ord", F.floor(F.col("ord") / 5).cast("int"))
     return segments.block_offsets(blocks).select("doc_id", "segment_ord", "ord", F.col("offset").cast("long").alias("offset"))
 
 
-@query("WITH x AS (SELECT doc_id, unnest(range(0, len(regexp_extract_all(text, '[^.!?\\n]+[.!?\\n]*'))))::INT AS ord FROM documents) SELECT doc_id, ord, CASE WHEN ord % 9 = 4 THEN 0 ELSE 2 END::BIGINT AS times FROM x WHERE ord % 9 = 4 OR ord % 9 = 7")
+@query(BLOCKS + "SELECT doc_id, ord, CASE WHEN ord % 9 = 4 THEN 0 ELSE 2 END::BIGINT AS times FROM x WHERE ord % 9 = 4 OR ord % 9 = 7")
 def d2_planted_tiling(spark, sf):
     """Blocks that no segment covers, or two do: segments of one block each, with some left out and some twice."""
     blocks = segments.sentences(read(spark, sf, "documents"))

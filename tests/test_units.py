@@ -1,7 +1,10 @@
+import math
+import statistics
+
 import pyspark.sql.functions as F
 
 from lectern.functions import text as t
-from lectern.operators import align, quality
+from lectern.operators import align, quality, segments, stats
 from lectern.sources.files import audio_manifest, recogniser_words
 from lectern.streaming import jobs
 
@@ -87,3 +90,25 @@ def test_reachable_far(spark):
 
     edges = spark.createDataFrame([(i + 1, i) for i in range(12)] + [(0, 12), (50, 51)], "child long, parent long")
     assert sorted(r.name for r in quality.reachable(edges, spark.createDataFrame([(0,)], "name long")).collect()) == list(range(13))
+
+
+def test_segments_hold_their_ceiling(spark):
+    texts = [(1, "en", "x" * 2602 + ". Short one. " + "y" * 990 + "."), (2, "fr", None), (3, "fr", "")]
+    docs = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    got = [(r.doc_id, r.segment_ord, r.first_ord, r.last_ord, r.chars) for r in segments.segment(docs).orderBy("segment_ord").collect()]
+    assert got == [(1, 0, 0, 0, 2000), (1, 1, 1, 2, 614), (1, 2, 3, 3, 992)]
+    assert "".join(r.sentence for r in segments.sentences(docs).orderBy("ord").collect()) == texts[0][2]
+
+
+def test_fit_of_slopes(spark):
+    """Interval, r and p of a small clip against plain sums; r stays within its bound, and clips of fewer than four pairs have no fit."""
+    y = [0.0, 2.8, 3.2, 6.8, 7.2]
+    rows = [(1, float(i), v) for i, v in enumerate(y)] + [(2, float(i), float(i)) for i in range(20)] + [(3, 1.0, 1.0)] * 3
+    got = {r.clip_id: r for r in stats.slope(spark.createDataFrame(rows, "clip_id long, s double, delta_ms double")).collect()}
+    n, mx, my = 5, 2.0, sum(y) / 5
+    sxy, syy = sum((i - mx) * (v - my) for i, v in enumerate(y)), sum((v - my) ** 2 for v in y)
+    b, se = sxy / 10, math.sqrt((syy - sxy * sxy / 10) / 3 / 10)
+    r = sxy / math.sqrt(10 * syy)
+    p = 2 * (1 - statistics.NormalDist().cdf(math.atanh(r) * math.sqrt(n - 3)))
+    assert set(got) == {1, 2} and abs(got[1].slope - b) < 1e-4 and abs(got[1].slope_high - (b + 3.182446 * se)) < 1e-3
+    assert abs(got[1].r - r) < 1e-4 and abs(got[1].p - p) < 1e-4 and got[2].r == 1.0
