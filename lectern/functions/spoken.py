@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import digits, elisions, fold
+from lectern.functions.spelling import variants
+from lectern.functions.text import digits, elisions, fold, loose
 
 # The single words of numbers, and the words that abbreviations stand for, by language.
 NUMBERS = {
@@ -65,13 +66,31 @@ def abbreviations(folded: Column, lang: Column) -> Column:
 
 
 def forms(token: Column, lang: Column) -> Column:
-    """All sequences of words for a token, each word folded, the first of equal ones kept: the fold, its digits, number word, year and digit runs, abbreviations and elisions."""
+    """All sequences of words for a token, each word folded, the first of equal ones kept: the fold, its digits, number word, year and digit runs, abbreviations, other spellings and elisions."""
     folded, number = fold(token), digits(token)
     n = F.when(F.length(number).between(1, 15), number.cast("bigint"))
     one = lambda c: F.when(c.isNotNull() & (c != ""), F.array(F.array(c)))
     many = lambda c: F.when(c.isNotNull() & (F.size(c) > 0), F.array(c))
     none = F.array().cast("array<array<string>>")
-    parts = [one(folded), one(number), one(number_word(n, lang)), many(year(n, lang)), many(digit_runs(token)), F.transform(abbreviations(folded, lang), lambda w: F.array(w)), elisions(folded)]
+    parts = [one(folded), one(number), one(number_word(n, lang)), many(year(n, lang)), many(digit_runs(token)), F.transform(abbreviations(folded, lang), lambda w: F.array(w)), F.transform(variants(folded, lang), lambda w: F.array(w)), elisions(folded)]
     every = F.concat(*[F.coalesce(p, none) for p in parts])
     clean = F.transform(every, lambda s: F.filter(F.transform(s, fold), lambda w: w != ""))
     return F.when(folded == "", none).otherwise(F.array_distinct(F.filter(clean, lambda s: F.size(s) > 0)))
+
+
+def has_more(token: Column, folded: Column, lang: Column) -> Column:
+    """Whether a token has more forms than its fold: digits, an inner apostrophe, an abbreviation, or an English word with two spellings."""
+    short = F.lit(False)
+    for name, entries in ABBREVIATIONS.items():
+        short = short | ((lang == name) & folded.isin(*entries))
+    return token.rlike("[0-9]") | folded.contains("'") | short | (F.size(variants(folded, lang)) > 0)
+
+
+def normalized(words: DataFrame, text: str, lang: str | None = None) -> DataFrame:
+    """words with f, l and n (fold, fold without accents, digits) and, with the name of a language column, more and more_loose: the spoken forms of tokens that have others than their fold, else null."""
+    out = words.withColumn("f", fold(F.col(text))).withColumn("l", loose(F.col("f"))).withColumn("n", digits(F.col(text)))
+    if lang is None:
+        return out
+    some = F.when((F.col("f") != "") & has_more(F.col(text), F.col("f"), F.col(lang)), forms(F.col(text), F.col(lang)))
+    out = out.withColumn("more", some)
+    return out.withColumn("more_loose", F.transform("more", lambda s: F.transform(s, loose)))

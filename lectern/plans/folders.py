@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -19,3 +20,10 @@ def folder(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in that folder and read back, for rows that several steps need."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
