@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.spoken import normalized
 from lectern.functions.text import digits, fold
 from lectern.operators.drift import BOUND_MS, bound_violations, character_coverage, local_drift, monotone_violations
 
@@ -55,11 +56,16 @@ def sentence_interior(placed: DataFrame, bound: float) -> DataFrame:
 
 
 def split_unmatched(unmatched: DataFrame, display: DataFrame) -> DataFrame:
-    """unmatched words (clip_id, w) with their cause: a word that the page has, as a fold or as digits, was missed by the matcher; any other was invented by the engine."""
-    known = display.select("clip_id", F.explode(F.array(fold(F.col("text")), digits(F.col("text")))).alias("form")).where("form <> ''").distinct()
-    on = unmatched.withColumn("form", fold(F.col("w")))
+    """unmatched words (clip_id, w) with their cause: a word that the page has, as a fold, as digits or as a spoken form of one word, was missed by the matcher; any other was invented by the engine."""
+    named = display if "lang" in display.columns else display.withColumn("lang", F.lit("en"))
+    page = normalized(named, "text", "lang")
+    single = F.transform(F.filter("more", lambda x: F.size(x) == 1), lambda x: x[0])
+    known = page.select("clip_id", F.explode(F.concat(F.array("f", "n"), F.coalesce(single, F.array().cast("array<string>")))).alias("form")).where("form <> ''").distinct()
+    on = unmatched.withColumns({"form": fold(F.col("w")), "number": digits(F.col("w"))})
     there = known.withColumn("there", F.lit(True))
-    return on.join(there, ["clip_id", "form"], "left").withColumn("cause", F.when(F.col("there"), "matcher_miss").otherwise("engine_invention")).drop("there", "form")
+    by_digits = known.select("clip_id", F.col("form").alias("number"), F.lit(True).alias("numbered"))
+    both = on.join(there, ["clip_id", "form"], "left").join(by_digits, ["clip_id", "number"], "left")
+    return both.withColumn("cause", F.when(F.col("there") | F.col("numbered"), "matcher_miss").otherwise("engine_invention")).drop("there", "numbered", "form", "number")
 
 
 def split_rates(observed: DataFrame, causes: DataFrame) -> DataFrame:

@@ -31,10 +31,16 @@ def floor_quantile(values: Column, q: float) -> Column:
     return F.element_at(F.sort_array(F.collect_list(values)), (F.floor(F.lit(q) * (F.count(values) - 1)) + 1).cast("int"))
 
 
-def clip_scores(display: DataFrame, placed: DataFrame, observed: DataFrame) -> DataFrame:
-    """A row for each clip: in-bound share of all display tokens, match rate, unmatched share of words, and drift quantiles."""
+def clip_scores(display: DataFrame, placed: DataFrame, observed: DataFrame, unmatched: DataFrame | None = None) -> DataFrame:
+    """A row for each clip: in-bound share of all display tokens, match rate, unmatched share of words, and drift quantiles.
+
+    Words count as unmatched if they are rows of unmatched; without it, if observed knows no display index for them.
+    """
     total = display.groupBy("clip_id").agg(F.count("*").alias("tokens"))
-    words = observed.groupBy("clip_id").agg(F.count("*").alias("words"), F.count_if(F.col("disp_idx").isNull()).alias("invented"))
+    if unmatched is None:
+        words = observed.groupBy("clip_id").agg(F.count("*").alias("words"), F.count_if(F.col("disp_idx").isNull()).alias("invented"))
+    else:
+        words = observed.groupBy("clip_id").agg(F.count("*").alias("words")).join(unmatched.groupBy("clip_id").agg(F.count("*").alias("invented")), "clip_id", "left")
     d = local_drift(placed, "harness").groupBy("clip_id").agg(
         F.count("*").alias("placed"), F.count_if(F.col("drift_ms") <= BOUND_MS).alias("in_bound"),
         F.when(F.count("drift_ms") > 0, floor_quantile(F.round("drift_ms", 6), 0.95)).alias("p95_ms"), F.round(F.median("drift_ms"), 6).alias("median_ms"),
@@ -105,9 +111,14 @@ def thirds(display: DataFrame, placed: DataFrame) -> DataFrame:
 
 def offset_sweep(placed: DataFrame, step: int = 25, most: int = 250) -> DataFrame:
     """shift_ms, within: in-bound placements with all starts moved; the local drift doesn't move with them."""
-    shifts = F.explode(F.sequence(F.lit(-most), F.lit(most), F.lit(step))).alias("shift_ms")
-    moved = placed.select("*", shifts).withColumn("s", F.col("s") + F.col("shift_ms") / 1000.0)
-    w = Window.partitionBy("clip_id", "shift_ms").orderBy("disp_idx")
-    lag, lead = (lambda c: F.lag(c).over(w)), (lambda c: F.lead(c).over(w))
-    want = lag("s") + (F.col("cs") - lag("cs")) / (lead("cs") - lag("cs")) * (lead("s") - lag("s"))
-    return moved.withColumn("d", F.abs(F.col("s") - want) * 1000).groupBy("shift_ms").agg(F.count_if(F.round("d", 4) <= BOUND_MS).alias("within"))
+    w = _clip()
+    rows = placed.select(*[f(c).over(w).alias(f"{c}{k}") for k, f in ((0, F.lag), (2, F.lead)) for c in ("cs", "s")], "cs", "s")
+
+    def within(ms: int) -> Column:
+        s0, s, s2 = (F.col(c) + ms / 1000.0 for c in ("s0", "s", "s2"))
+        want = s0 + (F.col("cs") - F.col("cs0")) / (F.col("cs2") - F.col("cs0")) * (s2 - s0)
+        return F.struct(F.lit(ms).alias("shift_ms"), F.count_if(F.round(F.abs(s - want) * 1000, 4) <= BOUND_MS).alias("within"))
+
+    # One row of as many conditional counts as there are shifts; no row is copied.
+    counts = rows.agg(F.array(*[within(ms) for ms in range(-most, most + 1, step)]).alias("x"))
+    return counts.select(F.explode("x").alias("x")).select("x.*")

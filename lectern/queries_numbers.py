@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.functions import spoken
+from lectern.functions import spelling, spoken
 from lectern.functions import text as t
 from lectern.operators import billing, costs
 from lectern.plans import derived
@@ -21,6 +21,26 @@ def _sql_by_lang(tables: dict, key: str, value=lambda v: f"'{v}'") -> str:
     return "CASE lang " + " ".join(f"WHEN '{lang}' THEN {_sql_map(e, value)}[{key}]" for lang, e in tables.items()) + " END"
 
 
+def _spelling_pairs() -> str:
+    """VALUES rows (k, a, b) of the closed families: b is another spelling of a, in the order in which they are tried."""
+    single = [*spelling.PAIRS.items(), *[(a + s, b + s) for a, b in spelling.DIGRAPHS.items() for s in ("", "s")]]
+    rows = [(0, a, b) for a, b in single] + [(1, b, a) for a, b in single]
+    for i, (stems, gb, us, rest) in enumerate(spelling.FAMILIES):
+        both = [(x + gb + r, x + us + r) for x in stems for r in rest]
+        rows += [(2 + 2 * i, a, b) for a, b in both] + [(3 + 2 * i, b, a) for a, b in both]
+    return ", ".join(f"({k}, '{a}', '{b}')" for k, a, b in rows)
+
+
+_STAYS = "('" + "', '".join(x[:-1] + e for x in [*spelling.KEEP_S, *spelling.KEEP_Z] for e in ("e", "ed", "es", "er", "ers", "ing")) + "')"
+#: The other spellings of each English fold of a table fd, as lists by fold.
+SPELLINGS = f"""
+, sw AS (SELECT DISTINCT f, CASE WHEN regexp_matches(f, 'i[sz](ations?|ed|es|ing|ers?|e)$') OR regexp_matches(f, 'y[sz](ed|es|ing|e)$') THEN
+  CASE WHEN regexp_matches(f, 's(ations?|ed|es|ing|ers?|e)$') THEN regexp_replace(f, 's(ations?|ed|es|ing|ers?|e)$', 'z\\1') ELSE regexp_replace(f, 'z(ations?|ed|es|ing|ers?|e)$', 's\\1') END END AS b FROM fd WHERE lang = 'en'),
+pr AS (SELECT * FROM (VALUES {_spelling_pairs()}) v(k, a, b) UNION ALL SELECT 99, f, b FROM sw WHERE b IS NOT NULL AND f NOT IN {_STAYS} AND b NOT IN {_STAYS}),
+sp AS (SELECT a AS f, list(b ORDER BY k) AS other FROM (SELECT a, b, min(k) AS k FROM pr WHERE a <> b AND a IN (SELECT f FROM fd WHERE lang = 'en') GROUP BY a, b) GROUP BY a)
+"""
+
+
 # Page tokens with numbers, abbreviations and elisions among them: a sixth of each stands for the token itself.
 TOKENS = f"""
 , tk AS (SELECT DISTINCT lang, CASE (length(text) + cs) % 12 WHEN 0 THEN ((cs * 37) % 2300)::VARCHAR WHEN 1 THEN (cs % 120)::VARCHAR WHEN 2 THEN 'Dr.' WHEN 3 THEN concat('l''', text) WHEN 4 THEN concat((cs % 9 + 1)::VARCHAR, ',', (100 + cs % 900)::VARCHAR) WHEN 5 THEN 'st' ELSE text END AS token FROM disp),
@@ -70,7 +90,7 @@ def f8_elisions(spark, sf):
 
 
 @query(
-    TOKENS + f""", al AS (SELECT lang, token, f, list_concat(list_concat(list_concat(list_concat(list_concat(list_concat([[f]], CASE WHEN g <> '' THEN [[g]] ELSE [] END), CASE WHEN whole IS NOT NULL THEN [[whole]] ELSE [] END), CASE WHEN year IS NOT NULL THEN [year] ELSE [] END), CASE WHEN len(regexp_extract_all(token, '[0-9]+')) > 0 THEN [regexp_extract_all(token, '[0-9]+')] ELSE [] END), CASE WHEN abbr IS NOT NULL THEN list_transform(abbr, lambda w: [w]) ELSE [] END), {ELISION}) AS every FROM yr WHERE f <> ''),
+    TOKENS + SPELLINGS + f""", al AS (SELECT lang, token, f, list_concat(list_concat(list_concat(list_concat(list_concat(list_concat([[f]], CASE WHEN g <> '' THEN [[g]] ELSE [] END), CASE WHEN whole IS NOT NULL THEN [[whole]] ELSE [] END), CASE WHEN year IS NOT NULL THEN [year] ELSE [] END), CASE WHEN len(regexp_extract_all(token, '[0-9]+')) > 0 THEN [regexp_extract_all(token, '[0-9]+')] ELSE [] END), CASE WHEN abbr IS NOT NULL THEN list_transform(abbr, lambda w: [w]) ELSE [] END), list_concat(CASE WHEN lang = 'en' AND sp.other IS NOT NULL THEN list_transform(sp.other, lambda w: [w]) ELSE [] END, {ELISION})) AS every FROM yr LEFT JOIN sp USING (f) WHERE f <> ''),
 js AS (SELECT lang, token, list_transform(every, lambda s: array_to_string(s, ' ')) AS j FROM al)
 SELECT lang, token, array_to_string(list_filter(j, lambda x, i: list_position(j, x) = i), '|') AS forms FROM js""", True)
 def f9_spoken_forms(spark, sf):
