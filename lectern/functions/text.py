@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import sys
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A display token: what white space of any kind, no-break spaces included, separates.
@@ -11,14 +16,52 @@ ACCENTED = "áàâäãéèêëíìîïóòôöõúùûüñçÁÀÂÄÉÈÊËÍÌ
 PLAIN = "aaaaaeeeeiiiiooooouuuuncAAAAEEEEIIIIOOOOUUUUNC"
 
 
+def _bare_letters() -> tuple[str, str]:
+    """Every composed letter whose parts are a letter and marks, and that letter, by Unicode's own decompositions."""
+    pairs = []
+    for i in range(0xC0, sys.maxunicode + 1):
+        c = chr(i)
+        parts = unicodedata.decomposition(c)
+        if parts and not parts.startswith("<"):
+            bare = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"))
+            if len(bare) == 1 and bare != c:
+                pairs.append((c, bare))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, BARE = _bare_letters()
+
+
+def composed(rows: DataFrame, column: str) -> DataFrame:
+    """rows with a column's strings in composed form (NFC).
+
+    Only strings with a character from U+0300 on can change. Their distinct ones go through Python and are joined back;
+    all other rows stay as they are.
+    """
+    odd = F.coalesce(F.col(column).rlike(r"[\x{300}-\x{10FFFF}]"), F.lit(False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([unicodedata.normalize("NFC", x) for x in b.column(0).to_pylist()], pa.string())], names=["__token", "__composed"])
+
+    found = rows.where(odd).select(F.col(column).alias("__token")).distinct().mapInArrow(run, "__token string, __composed string")
+    done = rows.where(odd).join(found, F.col(column) == F.col("__token")).withColumn(column, F.col("__composed")).select(*rows.columns)
+    return rows.where(~odd).unionByName(done)
+
+
 def fold(token: Column) -> Column:
-    """Lower case, letters, numbers, underscore and apostrophe only; composed text is expected."""
+    """Lower case, letters, numbers, underscore and apostrophe only; composed text is expected, see composed()."""
     return F.regexp_replace(F.lower(token), r"[^\p{L}\p{N}_']", "")
 
 
 def loose(folded: Column) -> Column:
-    """A fold without its accents."""
-    return F.translate(folded, ACCENTED, PLAIN)
+    """A fold without its accents, whatever the letter."""
+    return F.translate(folded, MARKED, BARE)
+
+
+def accented(token: Column) -> Column:
+    """Whether a token has a letter with an accent, by itself or as a mark that follows."""
+    return (F.translate(token, MARKED, BARE) != token) | token.rlike(r"\p{Mn}")
 
 
 def digits(token: Column) -> Column:
