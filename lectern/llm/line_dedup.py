@@ -11,7 +11,7 @@ length; lines too short for it are linked where they are equal.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -197,10 +197,10 @@ def line_classes(docs: DataFrame, distance: int | tuple = DISTANCE, least: int =
     nodes = firsts.drop("digest")
     buckets = nodes.select(F.explode("keys").alias("key"), "id")
 
-    def near(a: Column, b: Column, fine: bool) -> Column:
-        unlike = sum((F.bit_count(a["sketch"][i].bitwiseXOR(b["sketch"][i])) for i in range(2)), F.lit(0))
-        t = F.lit(distance) if isinstance(distance, int) else by_length(F.least(a["n"], b["n"]))
-        return (F.abs(a["n"] - b["n"]) <= t) & (unlike <= 4 * t)
+    def near(a: Callable[[str], Column], b: Callable[[str], Column], fine: bool) -> Column:
+        unlike = sum((F.bit_count(a(f"k{i}").bitwiseXOR(b(f"k{i}"))) for i in range(2)), F.lit(0))
+        t = F.lit(distance) if isinstance(distance, int) else by_length(F.least(a("n"), b("n")))
+        return (F.abs(a("n") - b("n")) <= t) & (unlike <= 4 * t)
 
     def by_length(n: Column) -> Column:
         t = F.lit(0)
@@ -227,7 +227,7 @@ def line_classes(docs: DataFrame, distance: int | tuple = DISTANCE, least: int =
 
         return fetch(pairs, a, b).select("a", "b", "ta", "tb").transform(map_arrow, check, pairs.select("a", "b").schema)
 
-    label = closure(nodes.select("id", "n", "sketch"), buckets, near, verify, "lines").select("id", "label")
+    label = closure(nodes.select("id", "n", *[F.col("sketch")[i].alias(f"k{i}") for i in range(2)]), buckets, near, verify, "lines").select("id", "label")
     named = firsts.select("digest", "id").join(label, "id", "left").select("digest", F.coalesce("label", "id").alias("label"))
     out = lines.select(*_ROW, "line_no", "digest").join(named, "digest").withColumn("kept", place == F.col("label"))
     return out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "row", "line_no", F.when(~F.col("label.no_id"), F.col("label.doc_id")).alias("class_doc_id"), F.col("label.row").alias("class_row"), F.col("label.line_no").alias("class_line_no"), "kept")

@@ -1,9 +1,8 @@
 """Connected classes of similar items, without ever forming all pairs of a group.
 
 Items that may be similar share buckets. Each bucket's members are first held against a pivot,
-the member that shares most with others, so that one round joins nearly all of a dense group;
-then those still outside against a pivot of their own, as long as a round adds links. Only pairs
-of one bucket that are still in different classes are then compared with each other, each pair
+the member that shares most with others, so that one round joins nearly all of a dense group.
+Only pairs of one bucket that are still in different classes are then compared with each other, each pair
 in one of the buckets it shares, so no link between classes is lost; links inside a class are
 not needed. Hubs are read in parts: no task gets all that meets one item.
 """
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import table
 
-#: Members of a bucket that meet its pivot in one task, parts in which a hub is read, and rounds of pivots at most; they change the work's order only.
-PART, WAYS, ROUNDS = 1024, 32, 4
+#: Members of a bucket that meet its pivot in one task, and parts in which a hub is read; they change the work's order only.
+PART, WAYS = 1024, 32
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -51,60 +50,50 @@ def closure(nodes: DataFrame, buckets: DataFrame, near: Callable, verify: Callab
     """(id, label) of all items that have a link; an item's label is the smallest id of its class.
 
     nodes: id and what near() reads. buckets: (key, id), a candidate pair shares a key.
-    near(a, b, fine): a cheap necessary condition as a Column over the structs a and b of nodes' columns,
+    near(a, b, fine): a cheap necessary condition as a Column; a(name) and b(name) are the two sides' columns of nodes,
     and of finer()'s too if fine.
     verify: (a, b) pairs -> those that are links, as (a, b).
     finer: (id) -> (id, ...) more columns for near(), worth their cost only where whole classes meet.
     """
+    own = [c for c in nodes.columns if c != "id"]
     size = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = table(buckets.join(size, "key").select("key", "id", "size"), name)
-    full = F.struct("id", *[c for c in nodes.columns if c != "id"])
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"), F.array_sort(F.collect_set("key")).alias("keys"))
-    active = table(nodes.join(weight, "id").select("id", "weight", "keys", full.alias("n")), name)
-    shared = table(shared.join(active.select("id", "weight", F.col("n").alias("na")), "id"), name)
-
-    def against(rows: DataFrame) -> DataFrame:
-        """Candidate pairs of each row (key, id, size, weight, na, own label) with its bucket's pivot, the row of the greatest weight, if the labels differ."""
-        best = F.max_by(F.struct("id", "label", F.col("na").alias("nb")), F.struct("weight", F.xxhash64("id"), "id"))
-        pivot = rows.where("eligible").groupBy("key").agg(best.alias("p"), F.max("size").alias("size"))
-        parts = F.ceil(F.col("size") / PART)
-        pivot = pivot.select("key", "p", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-        met = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts)).join(pivot, ["key", "part"])
-        return met.where((F.col("label") != F.col("p.label")) & near(F.col("na"), F.col("p.nb"), False)).select(F.col("id").alias("a"), F.col("p.id").alias("b")).distinct()
-
-    def grown(pairs: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame, bool]:
-        found = table(verify(table(pairs, name)).select("a", "b").distinct(), name)
-        if links is not None and found.isEmpty():
-            return links, label, False
-        links = found if links is None else links.unionByName(found)
-        return links, components(links, name), True
-
-    links, label, more = grown(against(shared.withColumn("label", F.col("id")).withColumn("eligible", F.lit(True))), None)
-    named = shared
-    for step in range(ROUNDS):
-        named = named.drop("label", "main", "eligible").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        named = named.join(mixed.select("key"), "key", "left_semi")
-        count = named.groupBy("key", "label").count()
-        main = count.groupBy("key").agg(F.max(F.struct("count", "label"))["label"].alias("main"))
-        named = table(named.join(main, "key"), name)
-        if named.isEmpty():
-            return label
-        if not more or step + 1 == ROUNDS:
-            break
-        links, label, more = grown(against(named.withColumn("eligible", F.col("label") != F.col("main"))), links)
+    active = table(nodes.join(weight, "id").select("id", "weight", "keys", *own), name)
+    rows = shared.join(active.select("id", "weight", *own), "id")
+
+    # Each bucket's members against its pivot, the one of the greatest weight; a large bucket in parts.
+    best = F.max_by(F.struct("id", *own), F.struct("weight", F.xxhash64("id"), "id"))
+    pivot = rows.groupBy("key").agg(best.alias("p"), F.max("size").alias("size"))
+    parts = F.ceil(F.col("size") / PART)
+    pivot = pivot.select("key", F.col("p.id").alias("b"), *[F.col(f"p.{c}").alias(f"b_{c}") for c in own], F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    mine = rows.select("key", F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in own], F.pmod(F.xxhash64("id"), parts).alias("part"))
+    of = lambda side: lambda c: F.col(f"{side}_{c}")
+    met = mine.join(pivot, ["key", "part"]).where((F.col("a") != F.col("b")) & near(of("a"), of("b"), False)).select("a", "b").distinct()
+    links = table(verify(table(met, name)).select("a", "b").distinct(), name)
+    label = components(links, name)
 
     # All pairs across classes: what lies outside a bucket's largest class against the bucket, in the first bucket that a pair shares.
+    named = shared.select("key", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    count = named.groupBy("key", "label").count()
+    main = count.groupBy("key").agg(F.max(F.struct("count", "label"))["label"].alias("main"), F.count("*").alias("classes")).where("classes > 1").select("key", "main")
+    named = table(named.join(main, "key"), name)
+    if named.isEmpty():
+        return label
     known = active.join(named.select("id").distinct(), "id", "left_semi")
     if finer:
-        extra = table(finer(known.select("id")), name)
-        full = F.struct("n.*", *[c for c in extra.columns if c != "id"])
-        known = known.join(extra, "id").select("id", "keys", full.alias("n"))
-    known = table(known.select("id", "keys", "n"), name)
-    each = named.select("key", "id", "label", "main").join(known, "id")
-    few = each.where("label <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "label", "keys", "n")])
-    many = each.select("key", "main", *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "keys", "n")])
-    new = (F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("id_a") < F.col("id_b")))
-    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("l.key")
-    ok = (F.col("l.key") == F.col("r.key")) & new & near(F.col("n_a"), F.col("n_b"), finer is not None) & once
-    return grown(few.alias("l").join(many.alias("r"), ok).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), links)[1]
+        known = table(known, name)
+        extra = finer(known.select("id"))
+        own += [c for c in extra.columns if c != "id"]
+        known = known.join(extra, "id")
+    known = table(known.select("id", "keys", *own), name)
+    each = named.join(known, "id")
+    # Numbers that can't be null keep the join's condition short enough for the JVM to compile.
+    sure = {c: F.coalesce(F.col(c), F.lit(0).cast(t)) if t in ("bigint", "int") else F.col(c) for c, t in known.dtypes}
+    side = lambda s, rows: rows.select(F.col("key"), *([F.col("main")] if s == "b" else []), F.col("id").alias(s), F.col("label").alias(f"{s}_label"), *[sure[c].alias(f"{s}_{c}") for c in ("keys", *own)])
+    few, many = side("a", each.where("label <> main")), side("b", each)
+    new = (F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("main")) | (F.col("a") < F.col("b")))
+    once = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("l.key")
+    ok = (F.col("l.key") == F.col("r.key")) & new & near(of("a"), of("b"), finer is not None) & once
+    found = table(verify(table(few.alias("l").join(many.alias("r"), ok).select("a", "b"), name)).select("a", "b").distinct(), name)
+    return label if found.isEmpty() else components(links.unionByName(found), name)

@@ -9,7 +9,7 @@ full shingle sets.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,8 @@ MARGIN, WIDE_MARGIN = 0.25, 0.088
 _draw = np.random.default_rng(20240229)
 _A = _draw.integers(0, 1 << 32, PERMUTATIONS + WIDE, dtype=np.uint32) | np.uint32(1)
 _B = _draw.integers(0, 1 << 32, PERMUTATIONS + WIDE, dtype=np.uint32)
-_SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, packed array<long>"
+PACKED, FINE = ([f"{c}{i}" for i in range(n * BITS // 64)] for c, n in (("p", PERMUTATIONS), ("w", WIDE)))
+_SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, " + ", ".join(f"{c} long" for c in PACKED)
 
 
 def minima(shingles: np.ndarray, which: slice = slice(PERMUTATIONS)) -> np.ndarray:
@@ -69,27 +70,27 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 packs.append(packed(low).view(np.int64))
             else:
                 bands.append(None)
-                packs.append(None)
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(packs, longs)], names=["doc_id", "n_shingles", "set_key", "bands", "packed"])
+                packs.append(np.zeros(len(PACKED), dtype=np.int64))
+        each = np.array(packs, dtype=np.int64).reshape(-1, len(PACKED))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *map(pa.array, each.T.copy())], names=["doc_id", "n_shingles", "set_key", "bands", *PACKED])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets), 32 band hashes and the packed bits; the arrays are null for an empty set."""
+    """doc_id, n_shingles, set_key (equal for equal sets), 32 band hashes and the packed bits; for an empty set the bands are null and the bits 0."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, _sign, _SIGNED)
 
 
 def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        wide = [packed(minima(s, slice(PERMUTATIONS, None)), PERMUTATIONS).view(np.int64) if len(s) else None for s in map(shingle_set, utf8(batch.column("text")))]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(wide, pa.list_(pa.int64()))], names=["id", "wide"])
+        wide = [packed(minima(s, slice(PERMUTATIONS, None)), PERMUTATIONS).view(np.int64) for s in map(shingle_set, utf8(batch.column("text")))]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, np.array(wide, dtype=np.int64).reshape(-1, len(FINE)).T.copy())], names=["id", *FINE])
 
 
-def estimate(a: Column, b: Column, minima: int = PERMUTATIONS) -> Column:
+def estimate(a: list[Column], b: list[Column]) -> Column:
     """Similarity by bit counts of two packed signatures: the share of equal slots, less the quarter of the others that is equal by chance."""
-    unequal = F.lit(0)
-    for i in range(minima * BITS // 64):
-        x = a[i].bitwiseXOR(b[i])
+    unequal, minima = F.lit(0), len(a) * 64 // BITS
+    for of_a, of_b in zip(a, b, strict=True):
+        x = of_a.bitwiseXOR(of_b)
         unequal = unequal + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     return (F.lit(1.0) - unequal / F.lit(float(minima)) - F.lit(0.25)) / F.lit(0.75)
 
@@ -123,16 +124,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = table(signatures(ids), "minhash")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    firsts = some.groupBy("set_key").agg(F.min("doc_id").alias("first"))
-    rows = some.join(firsts, "set_key")
-    nodes = table(rows.where("doc_id = first").select(F.col("doc_id").alias("id"), "n_shingles", "packed", "bands", "set_key").dropDuplicates(["set_key"]), "minhash")
+    nodes = some.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", *PACKED, "bands")).alias("x"))
+    nodes = table(nodes.select("set_key", F.col("x.doc_id").alias("id"), "x.n_shingles", *[f"x.{c}" for c in PACKED], "x.bands"), "minhash")
+    firsts = nodes.select("set_key", F.col("id").alias("first"))
     buckets = nodes.select("id", F.explode("bands").alias("key")).select("key", "id")
     floor = percent / 100
 
-    def near(a: Column, b: Column, fine: bool) -> Column:
-        small, large = F.least(a["n_shingles"], b["n_shingles"]), F.greatest(a["n_shingles"], b["n_shingles"])
-        out = (small * 100 >= large * percent) & (estimate(a["packed"], b["packed"]) >= floor - MARGIN)
-        return out & (estimate(a["wide"], b["wide"], WIDE) >= floor - WIDE_MARGIN) if fine else out
+    def near(a: Callable[[str], Column], b: Callable[[str], Column], fine: bool) -> Column:
+        small, large = F.least(a("n_shingles"), b("n_shingles")), F.greatest(a("n_shingles"), b("n_shingles"))
+        of = lambda names: estimate([a(c) for c in names], [b(c) for c in names])
+        out = (small * 100 >= large * percent) & (of(PACKED) >= floor - MARGIN)
+        return out & (of(FINE) >= floor - WIDE_MARGIN) if fine else out
 
     live: list[DataFrame] = []
 
@@ -147,11 +149,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     def wider(wanted: DataFrame) -> DataFrame:
         texts = live[0].select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
-        return texts.transform(map_arrow, _widen, "id long, wide array<long>")
+        return texts.transform(map_arrow, _widen, "id long, " + ", ".join(f"{c} long" for c in FINE))
 
-    label = closure(nodes.select("id", "n_shingles", "packed"), buckets, near, verify, "minhash", wider)
+    label = closure(nodes.select("id", "n_shingles", *PACKED), buckets, near, verify, "minhash", wider)
     split = some.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id")
-    same = table(rows.join(split, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b")), "minhash")
+    same = table(some.join(split, "doc_id", "left_semi").join(firsts, "set_key").select(F.col("doc_id").alias("a"), F.col("first").alias("b")), "minhash")
     if not same.isEmpty():  # ids with several texts join the classes of all of them
         label = components(same.unionByName(label.select(F.col("id").alias("a"), F.col("label").alias("b"))), "minhash")
     return _named(signed, firsts, label)
