@@ -34,8 +34,11 @@ ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghi
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
 #: The corpus' words that are ranked (of the most documents, ties by the word), and their lengths: at most 20,000 x 24 bytes go to each task.
 RANKED, SHORTEST, LONGEST = 20_000, 3, 24
-#: The longest block whose repeats are seen.
+#: The longest block whose repeats a cost without a limit sees; below a limit, blocks as long as the limit can't be part of it.
 BLOCK = 512
+#: All blocks of up to 7 characters go into so many; a stretch of repeats keeps so many before and after what is left out of its middle.
+_COMMON, _KEPT = 420, 840
+_STRETCH = re.compile(r"(.{1,7}?)\1{260,}", re.DOTALL)
 _PART = math.log10(2)
 _LEET = str.maketrans("@4301$57!", "aaeoissti")
 _NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)}
@@ -73,8 +76,29 @@ class _Starts:
         return low
 
 
-def guess_cost(value: str, rank: dict[str, int]) -> float:
-    """log10 of the guesses that the cheapest segmentation of a value needs; 0 for an empty one.
+def shortened(value: str) -> tuple[str, list[int]]:
+    """A value without the middles of its long stretches of repeats, and each place's distance from the value's start as if they were there.
+
+    A multiple of all block sizes goes, so that what stands around it fits together. A cheap segmentation has one part
+    that spans the middle of such a stretch, and all others near its ends, where nothing is left out.
+    """
+    out, place, at = [], [0], 0
+    for m in _STRETCH.finditer(value):
+        gone = (m.end() - m.start() - 2 * _KEPT) // _COMMON * _COMMON
+        if gone > 0:
+            cut = m.start() + _KEPT
+            out.append(value[at:cut])
+            place += range(at + 1, cut + 1)
+            at = cut + gone
+    place += range(at + 1, len(value) + 1)
+    return "".join([*out, value[at:]]), place
+
+
+def guess_cost(value: str, rank: dict[str, int], limit: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of a value needs, or the limit where they are no fewer; 0 for an empty value.
+
+    Below a limit the work ends as soon as no part that begins within reach is cheap enough, and long repeats are
+    taken as one, so that a value of any length takes little time.
 
     best[j] is the least cost of the first j characters. A part may begin and end anywhere and costs:
     a word its rank (twice that if capitals are undone, four times if look-alike signs are), a date
@@ -82,7 +106,13 @@ def guess_cost(value: str, rank: dict[str, int]) -> float:
     alphabet walk of n characters 40 * n, and anything else 10 a character in brute force. Each
     further part doubles the guesses.
     """
-    n, low = len(value), value.lower()
+    block = BLOCK
+    place: list[int] | range = range(len(value) + 1)
+    if limit < math.inf:
+        block = min(BLOCK, math.ceil(limit) - 1)
+        if len(value) > 2 * _KEPT + _COMMON and block <= 7:
+            value, place = shortened(value)
+    n, low, alive = len(value), value.lower(), 0
     plain = low.translate(_LEET)
     best = [0.0] + [math.inf] * n
     before = lambda i: best[i] + (_PART if i else 0.0)
@@ -111,14 +141,14 @@ def guess_cost(value: str, rank: dict[str, int]) -> float:
         if not (c and low[c - 1 : c + 1] in _NEXT):
             walk, walk_from = _Starts(), c
         if j - 3 >= walk_from:
-            walk.add(before(j - 3), j - 3)
-            cost = min(cost, walk.least(j, 1) + math.log10(40))
+            walk.add(before(j - 3), place[j - 3])
+            cost = min(cost, walk.least(place[j], 1) + math.log10(40))
         seen = back.setdefault(value[c], [])
         now: dict[int, int] = {}
         short = 0  # the shortest block here
         for at in reversed(seen):
             b = c - at
-            if b > BLOCK:
+            if b > block:
                 break
             now[b] = period.get(b, 0) + 1
             if now[b] == 1:  # a new run of this block: starts of an older one don't reach it
@@ -126,14 +156,18 @@ def guess_cost(value: str, rank: dict[str, int]) -> float:
                     repeats.pop((b, k), None)
             if now[b] >= b:
                 starts = repeats.setdefault((b, j % b), _Starts())
-                starts.add(before(j - 2 * b), j - 2 * b)
+                starts.add(before(j - 2 * b), place[j - 2 * b])
                 short = short or b
                 if b == short or b % short or now[short] + short < now[b] + b:  # else the shorter block is cheaper
-                    cost = min(cost, starts.least(j, b) + b)
+                    cost = min(cost, starts.least(place[j], b) + b)
         period = now
         seen.append(c)
         best[j] = cost
-    return best[n]
+        if cost < limit:
+            alive = j
+        elif j - alive > LONGEST:  # no word reaches back that far, and a walk or repeats that go on would be alive
+            return limit
+    return min(best[n], limit)
 
 
 def scan(text: str, rank: dict[str, int], strong: float = STRONG) -> list[tuple[int, int, str]]:
@@ -150,7 +184,7 @@ def scan(text: str, rank: dict[str, int], strong: float = STRONG) -> list[tuple[
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(k in low for k in ("pwd", "pass", "credential", "key", "secret", "bearer", "://")):
         values |= {m.span(1): m[1] for m in CONTEXT.finditer(text)}
-    out += [(s, 3, e) for (s, e), v in values.items() if guess_cost(v, rank) >= strong]
+    out += [(s, 3, e) for (s, e), v in values.items() if guess_cost(v, rank, strong) >= strong]
     return [(s, k, f"{KINDS[k]}:{s}:{e}") for s, k, e in sorted(set(out))]
 
 
