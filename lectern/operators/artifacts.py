@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.plans.folders import stored
+
 
 def claim_status(claims: DataFrame, leaves: DataFrame) -> DataFrame:
     """claims (claim_id, file, path, want) with their status against leaves (file, path, value): a claim holds only where exactly one leaf answers it."""
@@ -18,14 +22,104 @@ def claim_status(claims: DataFrame, leaves: DataFrame) -> DataFrame:
     return both.select("claim_id", status.alias("status"))
 
 
+def nodes(docs: DataFrame) -> DataFrame:
+    """file, id, parent, key, kind and value of every node of JSON documents (file, doc VARIANT), however deep.
+
+    Each round opens the objects and lists of the round before, until none is left. id is the path from the root
+    (empty), .name for a field and [n] for an entry; kind is object, array, string, number, boolean or null.
+    """
+    kinds = F.when(F.col("t").startswith("OBJECT"), "object").when(F.col("t").startswith("ARRAY"), "array").when(F.col("t") == "STRING", "string").when(F.col("t") == "BOOLEAN", "boolean").when(F.col("t") == "VOID", "null").otherwise("number")
+    none = F.lit(None).cast("string")
+    level, out = docs.select("file", F.lit("").alias("id"), none.alias("parent"), none.alias("key"), "doc"), []
+    while True:
+        level = stored(level.withColumn("t", F.expr("schema_of_variant(doc)")).withColumn("kind", kinds).drop("t"), "nodes")
+        scalar = ~F.col("kind").isin("object", "array")
+        out.append(level.select("file", "id", "parent", "key", "kind", F.when(scalar, F.col("doc").cast("string")).alias("value")))
+        inner = level.where(~scalar)
+        if inner.isEmpty():
+            break
+        child = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("doc").outer()).toDF("pos", "var_key", "var_value"))
+        name = F.when(F.col("kind") == "array", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("var_key")))
+        level = child.select("file", F.concat("id", name).alias("id"), F.col("id").alias("parent"), F.when(F.col("kind") == "array", F.col("pos").cast("string")).otherwise(F.col("var_key")).alias("key"), F.col("var_value").alias("doc"))
+    return reduce(DataFrame.unionByName, out)
+
+
+#: A step of a claim's path: a field, an entry or a selector in brackets.
+_STEP = r"[^.\[\]]+|\[[^\]]*\]"
+
+
+def _typed(text: Column) -> Column:
+    """kind:value of a value as a claim writes it: numbers, true, false, null, or a string with or without quotes."""
+    t = F.trim(text)
+    number = t.rlike(r"^-?[0-9]+([.][0-9]+)?$")
+    bare = F.regexp_replace(t, r"""^(['"])(.*)\1$""", "$2")
+    return F.when(number, F.concat(F.lit("number:"), t.cast("double").cast("string"))).when(t.isin("true", "false"), F.concat(F.lit("boolean:"), t)).when(t == "null", F.lit("null:")).otherwise(F.concat(F.lit("string:"), bare))
+
+
+def check_claims(claims: DataFrame, tree: DataFrame) -> DataFrame:
+    """claims (claim_id, claim: `file#path=value`) with their status against the nodes of artifacts.
+
+    A file is named by the end of its path. Path steps are fields, entries `[n]` and selectors `[field=value]`, which must
+    match one entry. MALFORMED, NO SUCH ARTIFACT, AMBIGUOUS, NO SUCH KEY, NOT A LIST, NO SUCH INDEX, SELECTOR MATCHED n,
+    WRONG VALUE or OK. All claims walk their paths together, a join for each step of the longest one.
+    """
+    value = F.when(F.col("kind") == "number", F.concat(F.lit("number:"), F.col("value").cast("double").cast("string"))).when(F.col("kind") == "null", F.lit("null:")).otherwise(F.concat("kind", F.lit(":"), F.coalesce("value", F.lit(""))))
+    tree = tree.withColumn("said", value)
+    c = F.col("claim")
+    hash_at, eq_at = F.instr(c, "#"), F.length(c) - F.instr(F.reverse(c), "=") + 1
+    formed = F.coalesce((hash_at > 1) & (F.instr(c, "=") > 0) & (eq_at > hash_at), F.lit(False))
+    path = F.substr(c, hash_at + 1, eq_at - hash_at - 1)
+    rows = claims.select("claim_id", F.when(formed, F.trim(F.substr(c, F.lit(1), hash_at - 1))).alias("name"), F.when(formed, F.regexp_extract_all(F.trim(path), F.lit(_STEP), F.lit(0))).alias("steps"), F.when(formed, _typed(F.substr(c, eq_at + 1))).alias("want"))
+    # A file answers to its whole path and to every end of it that follows a slash.
+    parts = F.split("file", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    files = tree.select("file").distinct().select("file", F.explode(F.array_distinct(F.concat(F.array("file"), ends))).alias("name"))
+    named = rows.join(files, "name", "left").groupBy("claim_id").agg(F.first("name").alias("name"), F.first("steps").alias("steps"), F.first("want").alias("want"), F.count("file").alias("files"), F.min("file").alias("file"))
+    status = F.when(F.col("name").isNull(), "MALFORMED").when(F.col("files") == 0, "NO SUCH ARTIFACT").when(F.col("files") > 1, "AMBIGUOUS")
+    walk = stored(named.select("claim_id", "file", "steps", "want", F.lit("").alias("at"), status.alias("status")), "claims")
+    kind = tree.select("file", F.col("id").alias("at"), F.col("kind").alias("here"))
+    child = tree.select("file", F.col("parent").alias("at"), "key", F.col("id").alias("next"))
+    fields = tree.where("parent is not null").select("file", F.col("parent").alias("entry"), F.col("key").alias("field"), "said")
+    entries = tree.where("key is not null").select("file", F.col("parent").alias("at"), F.col("id").alias("entry"))
+    chosen = entries.join(fields, ["file", "entry"]).select("file", "at", "field", F.col("said").alias("asked"), "entry")
+    longest = walk.agg(F.max(F.size("steps")).alias("n")).first()["n"] or 0
+    for k in range(longest):
+        step = F.get("steps", F.lit(k))
+        inner = F.when(step.startswith("["), F.regexp_extract(step, r"^\[(.*)\]$", 1))
+        mode = F.when(F.col("status").isNotNull() | step.isNull(), "done").when(inner.isNull(), "key").when(inner.contains("="), "select").when(inner.rlike("^[0-9]+$"), "index").otherwise("bad")
+        now = walk.withColumn("mode", mode).withColumn("key", F.when(F.col("mode") == "key", step).when(F.col("mode") == "index", inner.cast("long").cast("string")))
+        now = now.withColumn("field", F.when(F.col("mode") == "select", F.substring_index(inner, "=", 1))).withColumn("asked", F.when(F.col("mode") == "select", _typed(F.substr(inner, F.instr(inner, "=") + 1))))
+        now = now.join(kind, ["file", "at"], "left").join(child, ["file", "at", "key"], "left")
+        hits = now.where("mode = 'select'").select("claim_id", "file", "at", "field", "asked").join(chosen, ["file", "at", "field", "asked"]).groupBy("claim_id").agg(F.count("*").alias("hits"), F.min("entry").alias("entry"))
+        now = now.join(hits, "claim_id", "left")
+        n = F.coalesce("hits", F.lit(0))
+        listed = F.coalesce(F.col("here") == "array", F.lit(False))
+        fault = (
+            F.when(F.col("mode") == "bad", "MALFORMED").when((F.col("mode") == "key") & (listed | F.col("next").isNull()), "NO SUCH KEY").when(F.col("mode").isin("index", "select") & ~listed, "NOT A LIST")
+            .when((F.col("mode") == "index") & F.col("next").isNull(), "NO SUCH INDEX").when((F.col("mode") == "select") & (n != 1), F.concat(F.lit("SELECTOR MATCHED "), n.cast("string")))
+        )
+        to = F.when(F.col("mode").isin("key", "index"), F.col("next")).when(F.col("mode") == "select", F.col("entry")).otherwise(F.col("at"))
+        walk = stored(now.select("claim_id", "file", "steps", "want", F.coalesce(to, F.col("at")).alias("at"), F.coalesce("status", fault).alias("status")), "claims")
+    found = walk.join(tree.select("file", F.col("id").alias("at"), "said"), ["file", "at"], "left")
+    return found.select("claim_id", F.coalesce("status", F.when(F.coalesce(F.col("said") == F.col("want"), F.lit(False)), "OK").otherwise("WRONG VALUE")).alias("status"))
+
+
 def one_basis(values: DataFrame, quoted: DataFrame) -> DataFrame:
-    """quoted sets (set_id, value) and whether one (file, basis) of values has all of a set's numbers, to one decimal. Sets and bases meet on their values, so only what is shared is counted."""
-    have = values.select("file", "basis", F.round("value", 1).alias("value")).distinct()
-    want = quoted.select("set_id", F.round("value", 1).alias("value")).distinct()
-    size = want.groupBy("set_id").agg(F.count("*").alias("size"))
-    met = want.join(have, "value").groupBy("set_id", "file", "basis").agg(F.count("*").alias("met"))
-    best = met.groupBy("set_id").agg(F.max("met").alias("met"))
-    return size.join(best, "set_id", "left").select("set_id", "size", (F.coalesce("met", F.lit(0)) == F.col("size")).alias("consistent"))
+    """quoted sets (set_id, value) and whether one (file, basis) of values has all of a set's numbers, to one decimal.
+
+    Equal sets and equal bases are looked at once. A set meets only the bases that have its rarest number, the one
+    that the fewest of them have, and is then held against all their numbers.
+    """
+    numbers = lambda df, *key: df.groupBy(*key).agg(F.array_sort(F.collect_set(F.round("value", 1))).alias("all"))
+    sets = stored(numbers(quoted, "set_id"), "sets")
+    bases = numbers(values, "file", "basis").select(F.col("all").alias("have")).distinct().select("have", F.explode("have").alias("value"))
+    bases = stored(bases, "bases")
+    common = bases.groupBy("value").agg(F.count("*").alias("bases"))
+    wanted = sets.select("all").distinct()
+    rarest = wanted.select("all", F.explode("all").alias("value")).join(common, "value", "left").groupBy("all").agg(F.min(F.struct(F.coalesce("bases", F.lit(0)).alias("bases"), "value")).alias("x"))
+    met = rarest.where("x.bases > 0").select("all", "x.value").join(bases, "value").where(F.size(F.array_except("all", "have")) == 0)
+    found = met.select("all").distinct().withColumn("found", F.lit(True))
+    return sets.join(found, "all", "left").select("set_id", F.size("all").cast("long").alias("size"), F.coalesce("found", F.lit(False)).alias("consistent"))
 
 
 def unlabelled(leaves: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import wilson
@@ -69,25 +71,31 @@ def sample_sizes(rates: DataFrame) -> DataFrame:
     return rates.withColumn("n_paired", F.when(ok, F.ceil(F.round(pairs, 6))).otherwise(-1).cast("long")).withColumn("n_two", F.when(F.col("p1") == F.col("p2"), -1).otherwise(two).cast("long"))
 
 
-def block_bootstrap(rows: DataFrame, a: str, b: str, block: str, iters: int = 2000) -> DataFrame:
+def block_bootstrap(rows: DataFrame, a: str, b: str, block: str, iters: int = 10_000, seed: int = 20260809) -> DataFrame:
     """n, low, high: interval of the difference of two outcomes in percentage points, whole blocks drawn again.
 
-    Rows become one row a block first; a draw's block follows from the numbers of its round and place by
-    a fixed recurrence, so that it is the same on any cluster.
+    Rows become one row a block first. How often a round draws a block is a Poisson(1) number of a generator that counts
+    from the seed and the block's hash: the same on any cluster, independent from block to block and from round to
+    round, and on average as many blocks as there are. Each task adds its blocks to the sums of all rounds, and only
+    those sums, `iters` a task, are brought together. Rounds that draw no block don't count; no rows give no row.
     """
-    blocks = rows.groupBy(block).agg(F.count("*").alias("t"), F.sum(F.col(a) - F.col(b)).alias("d"))
-    at = F.row_number().over(Window.orderBy(block)) - 1  # one row a block
-    blocks = blocks.withColumn("at", at)
-    size = blocks.agg(F.count("*").alias("k"), F.sum("t").alias("n"))
-    spark = rows.sparkSession
-    draws = spark.range(iters).withColumnRenamed("id", "i").join(F.broadcast(size)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    mixed = ((F.col("i") * 7919 + F.col("j") * 104729 + 12345) * 1103515245 + 12345) % 2147483648
-    draws = draws.withColumn("at", (F.floor(mixed / 65536) % F.col("k")).cast("int"))
-    each = draws.join(F.broadcast(blocks.select("at", "t", "d")), "at").groupBy("i", "n").agg((100.0 * F.sum("d") / F.sum("t")).alias("diff"))
-    rank = F.row_number().over(Window.orderBy("diff")) - 1  # one row a round
-    ordered = each.withColumn("r", rank)
-    pick = lambda q: F.round(F.max(F.when(F.col("r") == math.floor(q * (iters - 1)), F.col("diff"))), 4)
-    return ordered.groupBy("n").agg(pick(0.025).alias("low"), pick(0.975).alias("high"))
+    blocks = rows.groupBy(block).agg(F.count("*").alias("t"), F.sum(F.col(a) - F.col(b)).cast("long").alias("d")).select(F.xxhash64(block).alias("k"), "t", "d")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, d = np.zeros(iters, dtype=np.int64), np.zeros(iters, dtype=np.int64)
+        for batch in batches:
+            for k, size, diff in zip(*(batch.column(c).to_pylist() for c in ("k", "t", "d")), strict=True):
+                times = np.random.Generator(np.random.Philox(key=[seed, k % (1 << 64)])).poisson(1.0, iters)
+                t += times * size
+                d += times * (diff or 0)
+        at = np.flatnonzero(t)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(t[at]), pa.array(d[at])], names=["i", "t", "d"])
+
+    rounds = blocks.mapInArrow(draw, "i long, t long, d long").groupBy("i").agg((100.0 * F.sum("d") / F.sum("t")).alias("diff"))
+    every = rounds.agg(F.array_sort(F.collect_list("diff")).alias("x"))  # one number a round
+    pick = lambda q: F.round(F.element_at("x", (F.floor(F.lit(q) * (F.size("x") - 1)) + 1).cast("int")), 4)
+    total = rows.agg(F.count("*").alias("n"))
+    return total.join(F.broadcast(every.where(F.size("x") > 0))).select("n", pick(0.025).alias("low"), pick(0.975).alias("high"))
 
 
 def voice_pairs(rates: DataFrame) -> DataFrame:
