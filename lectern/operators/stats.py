@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +87,70 @@ def calibrate(pairs: DataFrame, shifts: list[int], scales: list[float]) -> DataF
     cells = moved.groupBy("lang", "shift_ms", "scale").agg(ok.alias("hits"))
     best = F.max_by(F.struct("shift_ms", "scale", "hits"), F.struct("hits", -F.col("shift_ms"), -F.col("scale")))
     return cells.groupBy("lang").agg(best.alias("x")).select("lang", "x.*")
+
+
+#: The grid of a calibration: shifts in milliseconds, evenly spaced, and scales of a word's length.
+SHIFTS_MS, SCALES = list(range(0, 261, 10)), [x / 100 for x in range(90, 156, 5)]
+
+
+def grid_hits(pairs: DataFrame, shifts: list[int] = SHIFTS_MS, scales: list[float] = SCALES) -> DataFrame:
+    """lang, shift_ms, scale, hits: for each cell the pairs (lang, s, e, s2, e2) that overlap by half once the first interval is moved and stretched.
+
+    For one scale, two intervals of lengths d and l overlap by half on a stretch of shifts, where they share a third of d + l. So
+    a pair adds one at the stretch's first shift and takes one away behind its last; no pair is copied, and a task sends a row a cell.
+    """
+    first, step, n = shifts[0], (shifts[1] - shifts[0]) if len(shifts) > 1 else 1, len(shifts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            lang = batch.column("lang").dictionary_encode()
+            s, e, s2, e2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("s", "e", "s2", "e2"))
+            code = lang.indices.to_numpy()
+            for k, name in enumerate(lang.dictionary.to_pylist()):
+                change = held.setdefault(name, np.zeros((len(scales), n + 1), dtype=np.int64))
+                mine = code == k
+                for j, scale in enumerate(scales):
+                    d, other = (e[mine] - s[mine]) * scale, e2[mine] - s2[mine]
+                    third = (d + other) / 3
+                    low = np.ceil(((s2[mine] + third - d - s[mine]) * 1000 - first) / step - 1e-6)
+                    high = np.floor(((e2[mine] - third - s[mine]) * 1000 - first) / step + 1e-6)
+                    low, high = np.maximum(low, 0), np.minimum(high, n - 1)
+                    ok = (third > 0) & (d >= third - 1e-9) & (other >= third - 1e-9) & (low <= high)
+                    np.add.at(change[j], low[ok].astype(np.int64), 1)
+                    np.add.at(change[j], high[ok].astype(np.int64) + 1, -1)
+        rows = [(name, a, b, int(h)) for name, change in held.items() for b, line in zip(scales, np.cumsum(change[:, :-1], axis=1), strict=True) for a, h in zip(shifts, line, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.float64(), pa.int64()))], names=["lang", "shift_ms", "scale", "hits"])
+
+    some = pairs.select("lang", "s", "e", "s2", "e2").na.drop()
+    return some.mapInArrow(count, "lang string, shift_ms int, scale double, hits long").groupBy("lang", "shift_ms", "scale").agg(F.sum("hits").alias("hits"))
+
+
+def _moved(shift_ms: Column, scale: Column) -> Column:
+    a = F.col("s") + shift_ms / 1000.0
+    return F.round(overlap_pct(a, a + (F.col("e") - F.col("s")) * scale, F.col("s2"), F.col("e2")), 6)
+
+
+def fit_grid(pairs: DataFrame, shifts: list[int] = SHIFTS_MS, scales: list[float] = SCALES) -> DataFrame:
+    """lang, shift_ms, scale, hits, median_overlap of the best cell: most pairs at half overlap, then the greatest median overlap, then the smaller shift and scale. Medians are taken only where cells tie."""
+    cells = grid_hits(pairs, shifts, scales)
+    most = F.max("hits").over(Window.partitionBy("lang"))
+    tied = cells.withColumn("most", most).where("hits = most").drop("most")  # as many as there are cells at most
+    each = pairs.join(F.broadcast(tied), "lang").groupBy("lang", "shift_ms", "scale", "hits").agg(F.round(F.median(_moved(F.col("shift_ms"), F.col("scale"))), 4).alias("median_overlap"))
+    best = F.max_by(F.struct("shift_ms", "scale", "hits", "median_overlap"), F.struct("median_overlap", -F.col("shift_ms"), -F.col("scale")))
+    return each.groupBy("lang").agg(best.alias("x")).select("lang", "x.*")
+
+
+def calibration_holdout(fit: DataFrame, holdout: DataFrame, bar: float = 95.0) -> DataFrame:
+    """A row for each language of holdout pairs (lang, voice, s, e, s2, e2): the cell fitted on other pairs, overlap with and without it, and whether the voice changed too.
+
+    Where fit and holdout differ in voice, a fall of the score can't be laid to the text alone: the row is marked as confounded.
+    """
+    voices = lambda df, name: df.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("voice")), ",").alias(name))
+    cell = fit_grid(fit).select("lang", "shift_ms", "scale")
+    pct = lambda x: F.round(100.0 * F.count_if(x >= 50) / F.count("*"), 4)
+    on = holdout.join(F.broadcast(cell), "lang")
+    plain, moved = _moved(F.lit(0), F.lit(1.0)), _moved(F.col("shift_ms"), F.col("scale"))
+    scored = on.groupBy("lang", "shift_ms", "scale").agg(F.count("*").alias("words"), pct(plain).alias("uncalibrated_pct"), pct(moved).alias("calibrated_pct"), F.round(F.median(moved), 4).alias("median_overlap"))
+    both = scored.join(voices(fit, "fit_voice"), "lang").join(voices(holdout, "holdout_voice"), "lang")
+    return both.withColumn("passes", F.col("calibrated_pct") >= bar).withColumn("voice_confounded", F.col("fit_voice") != F.col("holdout_voice"))

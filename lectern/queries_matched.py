@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.functions import spelling
-from lectern.operators import align, contracts, drift, matcher
+from lectern.functions import expand, spelling
+from lectern.operators import align, contracts, drift, matcher, stats
 from lectern.plans import derived
 from lectern.plans.folders import stored
-from lectern.queries import _display, query
+from lectern.queries import PAIRS, _display, _pairs, query
 from lectern.queries_numbers import SPELLINGS
 
 
@@ -107,3 +107,41 @@ def a37_respelling(spark, sf):
     d = stored(_spelt(spark, sf), "display")
     heard = derived.observed_tokens(d).withColumn("w", spelling.americanised(F.col("w")))
     return align.respelling_probe(d, heard)
+
+
+@query()
+def f15_expanded_tokens(spark, sf):
+    """Tokens that an aligner places, of pages where every seventh token is a number."""
+    number = F.when(F.col("disp_idx") % 7 == 0, ((F.col("cs") * 37) % 3000 + F.when(F.col("disp_idx") % 21 == 0, 120_000).otherwise(0)).cast("string")).otherwise(F.col("text"))
+    return expand.expanded(_display(spark, sf).withColumn("text", number))
+
+
+@query()
+def j18_expansion_round_trip(spark, sf):
+    """Each clip's tokens and parts, and tokens whose span is the same again once it was cut into parts and put together."""
+    d = stored(_display(spark, sf).withColumn("text", F.when(F.col("disp_idx") % 7 == 0, ((F.col("cs") * 37) % 3000).cast("string")).otherwise(F.col("text"))), "display")
+    parts = stored(expand.expanded(d), "parts")
+    n = parts.groupBy("clip_id", "disp_idx").agg(F.count("*").alias("n"))
+    spans = d.select("clip_id", "disp_idx", (F.col("cs") * F.lit(0.065)).alias("s"), (F.col("ce") * F.lit(0.065)).alias("e"))
+    timed = parts.join(n, ["clip_id", "disp_idx"]).join(spans, ["clip_id", "disp_idx"])
+    each = (F.col("e") - F.col("s")) / F.col("n")
+    cut = timed.select("clip_id", "disp_idx", (F.col("s") + F.col("part") * each).alias("s"), (F.col("s") + (F.col("part") + 1) * each).alias("e"))
+    back = contracts.owner_spans(cut).join(spans.withColumnsRenamed({"s": "s0", "e": "e0"}), ["clip_id", "disp_idx"])
+    same = (F.abs(F.col("s") - F.col("s0")) < 1e-9) & (F.abs(F.col("e") - F.col("e0")) < 1e-9)
+    return back.groupBy("clip_id").agg(F.count("*").alias("tokens"), F.sum("parts").alias("parts"), F.count_if(same).alias("same"))
+
+
+@query(PAIRS + """
+, pv AS (SELECT *, CASE WHEN lang = 'es' AND clip_id % 3 = 0 THEN 'b' ELSE 'a' END AS voice FROM p), g AS (SELECT x.a::INT AS shift_ms, y.b / 100.0::DOUBLE AS scale FROM range(0, 261, 10) x(a), range(90, 156, 5) y(b)),
+ov AS (SELECT lang, shift_ms, scale, round(CASE WHEN greatest(a + d, e2) - least(a, s2) > 0 THEN greatest(least(a + d, e2) - greatest(a, s2), 0) / (greatest(a + d, e2) - least(a, s2)) * 100 ELSE 0 END, 6) AS o FROM (SELECT lang, shift_ms, scale, s + shift_ms / 1000.0::DOUBLE AS a, (e - s) * scale AS d, s2, e2 FROM pv, g WHERE clip_id % 3 <> 0)),
+hi AS (SELECT lang, shift_ms, scale, count(*) FILTER (o >= 50) AS hits FROM ov GROUP BY ALL), ti AS (SELECT * FROM hi QUALIFY hits = max(hits) OVER (PARTITION BY lang)),
+md AS (SELECT lang, shift_ms, scale, round(median(o), 4) AS m FROM ov JOIN ti USING (lang, shift_ms, scale) GROUP BY ALL), be AS (SELECT * FROM md QUALIFY row_number() OVER (PARTITION BY lang ORDER BY m DESC, shift_ms, scale) = 1),
+ho AS (SELECT lang, shift_ms, scale, s, e, s2, e2, overlap, s + shift_ms / 1000.0::DOUBLE AS a, (e - s) * scale AS d FROM pv JOIN be USING (lang) WHERE clip_id % 3 = 0),
+sc AS (SELECT *, round(overlap, 6) AS o0, round(CASE WHEN greatest(a + d, e2) - least(a, s2) > 0 THEN greatest(least(a + d, e2) - greatest(a, s2), 0) / (greatest(a + d, e2) - least(a, s2)) * 100 ELSE 0 END, 6) AS o1 FROM ho)
+SELECT lang, shift_ms, scale, count(*) AS words, round(100.0 * count(*) FILTER (o0 >= 50) / count(*), 4) AS uncalibrated_pct, round(100.0 * count(*) FILTER (o1 >= 50) / count(*), 4) AS calibrated_pct, round(median(o1), 4) AS median_overlap,
+  'a' AS fit_voice, CASE WHEN lang = 'es' THEN 'b' ELSE 'a' END AS holdout_voice, round(100.0 * count(*) FILTER (o1 >= 50) / count(*), 4) >= 95 AS passes, lang = 'es' AS voice_confounded FROM sc GROUP BY ALL""", True)
+def a20_calibration_holdout(spark, sf):
+    """The whole grid fitted on two clips in three and scored on the third; one language's holdout has another voice."""
+    third = F.col("clip_id") % 3 == 0
+    pairs = stored(_pairs(spark, sf).select("clip_id", "lang", F.when((F.col("lang") == "es") & third, "b").otherwise("a").alias("voice"), "s", "e", "s2", "e2"), "pairs")
+    return stats.calibration_holdout(pairs.where(~third), pairs.where(third))

@@ -8,9 +8,11 @@ from lectern.functions import spoken
 from lectern.functions import text as t
 from lectern.operators import artifacts, layout, quality, segments
 from lectern.plans import derived
+from lectern.plans.folders import stored
 from lectern.queries import FOLD, _display, _placed, _segments, query, read
 from lectern.queries_contract import CONF, _confident
 from lectern.queries_numbers import ELISION, TOKENS, _tokens
+from lectern.sources import files
 
 
 @query("SELECT doc_id, length(text) AS chars, octet_length(encode(text)) AS bytes, length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS non_ascii, sha256(text) AS sha FROM documents")
@@ -322,3 +324,45 @@ def f2b_layout_folds(spark, sf):
 @query("SELECT lang, count(*) AS tokens, count(*) FILTER (text <> strip_accents(text)) AS accented FROM disp GROUP BY 1", True)
 def f16_accented(spark, sf):
     return _display(spark, sf).groupBy("lang").agg(F.count("*").alias("tokens"), F.count_if(F.col("text").rlike("[À-ÖØ-Ýà-öø-ýÿ-ďĒ-ĥ]")).alias("accented"))
+
+
+# A sound file for each document: its text's bytes as samples, some behind other chunks, some with a header that declares no length.
+@query("""SELECT doc_id, 12 + 24 + 8 + CASE WHEN doc_id % 3 = 0 THEN 14 ELSE 0 END + octet_length(encode(text)) AS bytes, 8000 + doc_id % 4 * 4000 AS sample_rate, 1 + doc_id % 2 AS channels, 16 AS bits,
+  CASE WHEN doc_id % 5 = 0 THEN 4294967292 ELSE octet_length(encode(text)) END AS declared_data_bytes, octet_length(encode(text)) AS actual_data_bytes, round(octet_length(encode(text)) / ((8000 + doc_id % 4 * 4000) * 2 * (1 + doc_id % 2)), 10) AS seconds,
+  doc_id % 5 = 0 AS header_length_bogus, CASE WHEN doc_id % 7 = 6 THEN 'no fmt or data chunk' END AS fault FROM documents WHERE doc_id % 7 <> 6
+UNION ALL SELECT doc_id, 12 + CASE WHEN doc_id % 3 = 0 THEN 14 ELSE 0 END + 24, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no fmt or data chunk' FROM documents WHERE doc_id % 7 = 6""")
+def s6_wav_facts(spark, sf):
+    def little(n, size):
+        h = F.lpad(F.hex(n.cast("long")), 2 * size, "0")
+        return F.concat(*[F.substr(h, F.lit(2 * i + 1), F.lit(2)) for i in reversed(range(size))])
+
+    d, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    rate, channels, size = 8000 + d % 4 * 4000, 1 + d % 2, F.octet_length(text)
+    other = F.when(d % 3 == 0, F.concat(F.lit("4C495354"), little(F.lit(5), 4), F.lit("414243444500"))).otherwise("")  # five bytes and one to make them even
+    fmt = F.concat(F.lit("666D7420"), little(F.lit(16), 4), little(F.lit(1), 2), little(channels, 2), little(rate, 4), little(rate * 2 * channels, 4), little(2 * channels, 2), little(F.lit(16), 2))
+    data = F.when(d % 7 == 6, "").otherwise(F.concat(F.lit("64617461"), little(F.when(d % 5 == 0, 4294967292).otherwise(size), 4), F.hex(text)))
+    head = F.concat(F.lit("52494646"), little(F.lit(0), 4), F.lit("57415645"))
+    found = files.wav_facts(read(spark, sf, "documents").select("doc_id", F.unhex(F.concat(head, other, fmt, data)).alias("content")))
+    return found.withColumn("seconds", F.round("seconds", 10)).drop("sha256")
+
+
+@query("""SELECT doc_id * 10 + k AS claim_id, CASE k WHEN 0 THEN 'OK' WHEN 1 THEN 'WRONG VALUE' WHEN 2 THEN 'NO SUCH KEY' WHEN 3 THEN 'NO SUCH ARTIFACT' WHEN 4 THEN 'NOT A LIST' WHEN 5 THEN CASE WHEN n > 2 THEN 'OK' ELSE 'NO SUCH INDEX' END
+  WHEN 6 THEN 'SELECTOR MATCHED ' || (1 + (n > 1)::INT + (n > 2)::INT) WHEN 7 THEN 'OK' WHEN 8 THEN 'MALFORMED' ELSE 'AMBIGUOUS' END AS status
+FROM (SELECT doc_id, least(1 + length(text) // 500, 3) AS n FROM documents), range(10) r(k) WHERE NOT (k = 6 AND n = 1)""")
+def f17_written_claims(spark, sf):
+    """Ten claims on the JSON of each document's figures: two folders hold one of the same name."""
+    docs = read(spark, sf, "documents").select("doc_id", "lang", F.least(1 + F.floor(F.length("text") / 500), F.lit(3)).cast("int").alias("n"))
+    named = lambda **fields: F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v)])
+    clip = lambda i: named(kind=F.concat(F.lit("c"), i.cast("string")), idx=i, group=F.lit("same"), score=named(pct=i * 1.5))
+    body = F.to_json(named(doc_id=F.col("doc_id"), lang=F.col("lang"), clips=F.transform(F.sequence(F.lit(1), F.col("n")), clip)))
+    file = F.concat(F.lit("out/a/d"), F.col("doc_id").cast("string"), F.lit(".json"))
+    both = F.explode(F.array(file, F.concat(F.lit("out/b/x"), F.col("doc_id").cast("string"), F.lit(".json")), F.concat(F.lit("out/c/x"), F.col("doc_id").cast("string"), F.lit(".json"))))
+    tree = stored(artifacts.nodes(docs.select(both.alias("file"), F.parse_json(body).alias("doc"))), "nodes")
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".json#"))
+    texts = [
+        F.concat(name, F.lit("clips[kind=c1].score.pct=1.5")), F.concat(name, F.lit("clips[0].score.pct=2")), F.concat(name, F.lit("clips[0].no=1")), F.concat(F.lit("none"), name, F.lit("lang=x")), F.concat(name, F.lit("lang[0]=x")),
+        F.concat(name, F.lit("clips[2].idx=3")), F.concat(name, F.lit("clips[group=same].idx=1")), F.concat(name, F.lit("lang="), "lang"), F.concat(name, F.lit("clips[odd].idx=1")),
+        F.concat(F.lit("x"), F.col("doc_id").cast("string"), F.lit(".json#lang=x")),
+    ]
+    claims = docs.select("doc_id", "n", F.posexplode(F.array(*texts)).alias("k", "claim")).where("not (k = 6 and n = 1)")
+    return artifacts.check_claims(claims.select((F.col("doc_id") * 10 + F.col("k")).alias("claim_id"), "claim"), tree)
