@@ -56,7 +56,7 @@ def fold(token: Column) -> Column:
 
 def loose(folded: Column) -> Column:
     """A fold without its accents, whatever the letter."""
-    return F.translate(folded, MARKED, BARE)
+    return F.when(F.octet_length(folded) == F.length(folded), folded).otherwise(F.translate(folded, MARKED, BARE))  # ASCII has none
 
 
 def accented(token: Column) -> Column:

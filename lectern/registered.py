@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from lectern import queries_contract, queries_matched, queries_numbers, queries_pages, queries_tables  # noqa: F401
+from lectern import queries_contract, queries_matched, queries_numbers, queries_pages, queries_rules, queries_tables  # noqa: F401
 from lectern.queries import QUERIES, SQL  # noqa: F401
