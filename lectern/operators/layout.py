@@ -123,8 +123,8 @@ def resolve(candidates: DataFrame, output: DataFrame, truth: DataFrame) -> DataF
         for side in "ba":
             score = score + F.when(F.col(f"place_{side}{d}") == F.col(f"seq_{side}{d}"), weight).otherwise(0)
     scored = candidates.join(o, ["page_id", "place"]).join(t, ["page_id", "seq"]).withColumn("score", score)
-    best = scored.groupBy("page_id", "place").agg(F.max("score").alias("score"))
-    top = scored.join(best, ["page_id", "place", "score"]).groupBy("page_id", "place").agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
+    best = F.max("score").over(Window.partitionBy("page_id", "place"))
+    top = scored.withColumn("best", best).where("score = best").groupBy("page_id", "place").agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
     return top.select("page_id", "place", F.when(F.col("n") == 1, F.col("seq")).alias("seq"))
 
 

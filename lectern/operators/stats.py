@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import mcnemar, overlap_pct, wilson
+from lectern.plans.folders import stored
 
 
 def paired_outcomes(rows: DataFrame, a: str, b: str, by: str) -> DataFrame:
@@ -33,6 +34,7 @@ def pair_sheet(pairs: DataFrame, by: str = "lang", worst: int = 3) -> DataFrame:
     size has a bounded number of distinct values and its quantiles come from their counts.
     """
     both = pairs.withColumn("overlap", F.round("overlap", 4)).withColumn("d", F.round("delta_ms", 3)).withColumn("abs_d", F.abs("d"))
+    both = stored(both.select(by, "clip_id", "disp_idx", "text", "overlap", "d", "abs_d"), "pairs")  # three ways of summing up read it
     sheet = both.groupBy(by).agg(
         F.count("*").alias("pairs"), F.round(F.median("overlap"), 4).alias("median_overlap"), F.round(100.0 * F.count_if(F.col("overlap") >= 50) / F.count("*"), 4).alias("pct_50"),
         F.round(F.median("d"), 4).alias("median_delta_ms"), F.round(F.median("abs_d"), 4).alias("median_abs_ms"), F.round(100.0 * F.count_if(F.col("d").between(-250, 250)) / F.count("*"), 4).alias("agree_250_pct"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as t
 from lectern.operators import align, billing, drift, quality, segments, stats
 from lectern.plans import derived
+from lectern.plans.folders import stored
 from lectern.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +42,8 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _display(spark, sf_dir)
-    return stats.pair_engines(_placed(spark, sf_dir), derived.placements(d, derived.observed_tokens(d, 19, 29, 0.09)))
+    d = stored(_display(spark, sf_dir), "display")
+    return stats.pair_engines(derived.placements(d, derived.observed_tokens(d)), derived.placements(d, derived.observed_tokens(d, 19, 29, 0.09)))
 
 
 FOLD = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_'']', '', 'g')"

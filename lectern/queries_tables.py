@@ -286,7 +286,7 @@ CANDS = FOLDED + ", nx8 AS (SELECT page_id, seq, list(f) OVER (PARTITION BY page
 
 
 def _folded(spark, sf):
-    rows = _ordered(spark, sf).withColumn("f", t.fold(F.col("text"))).where("f <> ''")
+    rows = stored(_ordered(spark, sf).withColumn("f", t.fold(F.col("text"))).where("f <> ''").select("page_id", "place", "seq", "f"), "ordered")
     return rows.where("place % 3 = 0").select("page_id", "place", "f"), rows.select("page_id", "seq", "f")
 
 
