@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import mcnemar, overlap_pct, wilson
+from lectern.functions.text import at_least, mcnemar, overlap_pct, wilson
 from lectern.plans.folders import stored
 
 
@@ -23,8 +23,12 @@ def paired_outcomes(rows: DataFrame, a: str, b: str, by: str) -> DataFrame:
 def pair_engines(a: DataFrame, b: DataFrame) -> DataFrame:
     """Placements of two engines on the same display token, with their overlap and start difference."""
     r = b.select("clip_id", "disp_idx", F.col("s").alias("s2"), F.col("e").alias("e2"))
-    both = a.join(r, ["clip_id", "disp_idx"])
-    return both.withColumn("overlap", overlap_pct(F.col("s"), F.col("e"), F.col("s2"), F.col("e2"))).withColumn("delta_ms", (F.col("s2") - F.col("s")) * 1000)
+    return compared(a.join(r, ["clip_id", "disp_idx"]))
+
+
+def compared(pairs: DataFrame) -> DataFrame:
+    """pairs (s, e, s2, e2) with overlap and delta_ms, the start difference."""
+    return pairs.withColumn("overlap", overlap_pct(F.col("s"), F.col("e"), F.col("s2"), F.col("e2"))).withColumn("delta_ms", (F.col("s2") - F.col("s")) * 1000)
 
 
 def pair_sheet(pairs: DataFrame, by: str = "lang", worst: int = 3) -> DataFrame:
@@ -85,7 +89,7 @@ def calibrate(pairs: DataFrame, shifts: list[int], scales: list[float]) -> DataF
     """lang, shift_ms, scale of the best grid cell: most pairs at half overlap, then the smaller shift and scale."""
     grid = F.explode(F.array(*[F.struct(F.lit(a).alias("shift_ms"), F.lit(b).alias("scale")) for a in shifts for b in scales])).alias("g")
     moved = pairs.select("lang", "s", "e", "s2", "e2", grid).select("lang", "g.*", (F.col("s") + F.col("g.shift_ms") / 1000.0).alias("a"), ((F.col("e") - F.col("s")) * F.col("g.scale")).alias("d"), "s2", "e2")
-    ok = F.count_if(F.round(overlap_pct(F.col("a"), F.col("a") + F.col("d"), F.col("s2"), F.col("e2")), 6) >= 50)
+    ok = F.count_if(at_least(overlap_pct(F.col("a"), F.col("a") + F.col("d"), F.col("s2"), F.col("e2")), 50, 6))
     cells = moved.groupBy("lang", "shift_ms", "scale").agg(ok.alias("hits"))
     best = F.max_by(F.struct("shift_ms", "scale", "hits"), F.struct("hits", -F.col("shift_ms"), -F.col("scale")))
     return cells.groupBy("lang").agg(best.alias("x")).select("lang", "x.*")
