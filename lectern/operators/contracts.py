@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.spoken import normalized
-from lectern.functions.text import digits, fold
+from lectern.functions.text import at_least, at_most, digits, fold
 from lectern.operators.drift import BOUND_MS, bound_violations, character_coverage, local_drift, monotone_violations
 
 FLOOR_PCT = 95.0
@@ -43,8 +43,8 @@ def signed_drift(placed: DataFrame) -> DataFrame:
 
 def sign_summary(placed: DataFrame, bound: float) -> DataFrame:
     """For each language: mean signed drift, and failures that are early or late."""
-    d = F.round("signed_ms", 4)
-    return signed_drift(placed).groupBy("lang").agg(F.count("*").alias("rows"), F.round(F.avg("signed_ms"), 4).alias("mean_ms"), F.count_if(d < -bound).alias("early"), F.count_if(d > bound).alias("late"))
+    d = F.col("signed_ms")
+    return signed_drift(placed).groupBy("lang").agg(F.count("*").alias("rows"), F.round(F.avg("signed_ms"), 4).alias("mean_ms"), F.count_if(~at_least(d, -bound, 4)).alias("early"), F.count_if(~at_most(d, bound, 4)).alias("late"))
 
 
 def sentence_interior(placed: DataFrame, bound: float) -> DataFrame:
@@ -89,7 +89,12 @@ def owner_spans(parts: DataFrame) -> DataFrame:
 
 def truth_deltas(placed: DataFrame, truth: DataFrame) -> DataFrame:
     """placed with delta_ms against the true starts (clip_id, disp_idx, true_s)."""
-    return placed.join(truth, ["clip_id", "disp_idx"]).withColumn("delta_ms", F.round((F.col("s") - F.col("true_s")) * 1000, 4))
+    return deltas_of(placed.join(truth, ["clip_id", "disp_idx"]))
+
+
+def deltas_of(rows: DataFrame) -> DataFrame:
+    """rows (s, true_s) with delta_ms, for placements that know their true start."""
+    return rows.withColumn("delta_ms", F.round((F.col("s") - F.col("true_s")) * 1000, 4))
 
 
 def truth_scores(deltas: DataFrame, display: DataFrame, bound: float) -> DataFrame:
