@@ -4,6 +4,7 @@ import random
 
 from lectern import registered as own
 from lectern.operators import layout
+from lectern.queries_tables import _folded, _ordered
 
 
 def _plan(df):
@@ -33,3 +34,11 @@ def test_chosen_in_the_page_as_by_candidates(spark):
     assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
     key = lambda df: sorted(df.collect(), key=str)
     assert key(layout.resolved(o, t)) == key(layout.resolve(found, o, t))
+
+
+def test_every_place_of_the_page_is_looked_at(spark, sf):
+    """Each token that has a fold is an output token: it meets itself at least, so that it has a candidate and a row."""
+    want = {(r.page_id, r.place) for r in _folded(spark, sf)[1].join(_ordered(spark, sf).select("page_id", "seq", "place"), ["page_id", "seq"]).collect()}
+    for name in ("j6_candidates", "j7_resolved"):
+        assert {(r.page_id, r.place) for r in own.QUERIES[name](spark, sf).collect()} == want
+        assert "place % 3" not in own.SQL[name].split("), op AS", 1)[1]
