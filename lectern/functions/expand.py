@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -51,28 +50,33 @@ def spelled(n: Column, lang: Column) -> Column:
     return F.when(lang.isin(*UNITS) & n.between(0, TOO_LARGE - 1), F.when(n < 1000, under_1000(n)).when(n.between(1100, 1999), year).otherwise(large))
 
 
-def romanized(tokens: DataFrame) -> DataFrame:
-    """Distinct texts with r, their letters a to z and apostrophes: compatibility forms taken apart, marks dropped, lower case."""
+def _letters(text: str) -> str:
+    flat = unicodedata.normalize("NFKD", text.lower())
+    return "".join(c for c in flat if "a" <= c <= "z" or c == "'")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat = [unicodedata.normalize("NFKD", x.lower()) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["".join(c for c in x if "a" <= c <= "z" or c == "'") for x in flat], pa.string())], names=["text", "r"])
 
-    return tokens.select("text").where("text is not null").distinct().mapInArrow(run, "text string, r string")
+def romanized(texts: pa.Array) -> pa.Array:
+    """Each text's letters a to z and apostrophes: compatibility forms taken apart, marks dropped, lower case; distinct texts of a batch once."""
+    each = texts.dictionary_encode()
+    return pa.array([_letters(x) for x in each.dictionary.to_pylist()], pa.string()).take(each.indices)
 
 
-def expanded(display: DataFrame) -> DataFrame:
-    """clip_id, disp_idx, part and word: the tokens that an aligner places for each display token (clip_id, lang, disp_idx, text), each with the token that owns it.
+def with_words(display: DataFrame) -> DataFrame:
+    """display (lang, text and others) with words: what an aligner places for each token; null for nothing.
 
     A token of digits without letters is read out as words; any other gives its letters, and one without letters or digits nothing.
-    Plain tokens of a to z never leave the JVM; the distinct ones of all others are romanized once and joined back.
+    Plain tokens of a to z never leave the JVM, no token is shuffled.
     """
     plain = F.regexp_replace(F.lower("text"), "[^a-z']", "")
-    ascii_only = ~F.col("text").rlike(r"[^\x00-\x7F]")
-    odd = display.where(~ascii_only)
-    rows = display.where(ascii_only).withColumn("r", plain).unionByName(odd.join(romanized(odd), "text"))
+    odd = F.col("text").rlike(r"[^\x00-\x7F]")
+    rows = display.where("text is not null").withColumn("r", F.coalesce(F.arrow_udf(romanized, "string")(F.when(odd, F.col("text"))), plain))
     number = digits(F.col("text"))
     n = F.when(F.length(number).between(1, 15), number.cast("long"))
     words = F.when((F.col("r") == "") & n.isNotNull(), F.coalesce(spelled(n, F.col("lang")), F.array().cast("array<string>"))).when(F.col("r") != "", F.array("r"))
-    return rows.select("clip_id", "disp_idx", F.posexplode(words).alias("part", "word"))
+    return rows.withColumn("words", words).drop("r")
+
+
+def expanded(display: DataFrame) -> DataFrame:
+    """clip_id, disp_idx, part and word: the words of with_words() for each display token (clip_id, lang, disp_idx, text), each with the token that owns it."""
+    rows = with_words(display).select("clip_id", "disp_idx", F.posexplode_outer("words").alias("part", "word"))  # outer: no filter is inferred that makes all words once more
+    return rows.where("part is not null")
